@@ -27,6 +27,7 @@ Memory per worker: the trie, MAX_STATES states, MEMO pieces, one Arrow batch.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
@@ -40,8 +41,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from graphloom.llm.common import read, ship
 
-MAX_STATES = 40_000
-MAX_PAIRS = 1_000_000
+MAX_STATES = 400_000
+MAX_PAIRS = 400_000
 MEMO = 150_000
 
 
@@ -63,7 +64,7 @@ def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Transducer:
-    """States are numbers; edges[state << 8 | byte] is (next state, emitted tokens)."""
+    """States are numbers; edges[state << 8 | byte] leads to the next and to what is emitted."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
@@ -87,11 +88,21 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.edges: dict[int, tuple[int, tuple[int, ...]]] = {}
-        start = ((0, -1, ()),)
-        self.states = [start]
-        self.final: list[tuple[int, ...]] = [()]
-        self.number = {start: 0}
+        #: edge: next state << 24 | number of the emitted tuple. Packed, as there may be many.
+        self.edges: dict[int, int] = {}
+        self.outputs: list[tuple[int, ...]] = [()]
+        self.output_number: dict[tuple[int, ...], int] = {(): 0}
+        start = _pack([(0, -1, ())])
+        self.states: list[bytes] = [start]
+        self.final = array("I", [0])
+        self.number: dict[bytes, int] = {start: 0}
+
+    def _output(self, out: tuple[int, ...]) -> int:
+        n = self.output_number.get(out)
+        if n is None:
+            n = self.output_number[out] = len(self.outputs)
+            self.outputs.append(out)
+        return n
 
     def reachable(self, token: int) -> bool:
         """Merging makes this token from its own bytes; others come only as whole pieces."""
@@ -168,43 +179,65 @@ class Transducer:
                 j += 1
         return True
 
-    def _grow(self, key: int) -> tuple[int, tuple[int, ...]]:
-        byte, live = key & 255, []
-        for node, last, out in self.states[key >> 8]:
-            node = self.child.get(node << 8 | byte)
-            if node is None:
-                continue
-            live.append((node, last, out))
-            token = self.token_at.get(node)
-            if token is not None and self.may_follow(last, token):
-                live.append((0, token, (*out, token)))
-        n = 0
-        least = min(len(h[2]) for h in live)
-        while n < least and len({h[2][n] for h in live}) == 1:
-            n += 1
-        emitted = live[0][2][:n]
-        state = tuple(sorted((node, last, out[n:]) for node, last, out in live))
+    def _grow(self, key: int) -> int:
+        """Live hypotheses stay in the order of where their unfinished token starts, the root's last."""
+        byte, child, token_at, live, root = key & 255, self.child.get, self.token_at.get, [], None
+        for node, last, out in _unpack(self.states[key >> 8]):
+            node = child(node << 8 | byte)
+            if node is not None:
+                live.append((node, last, out))
+                if root is None:
+                    token = token_at(node)
+                    if token is not None and self.may_follow(last, token):
+                        root = (0, token, (*out, token))
+        live.append(root)
+        emitted = live[0][2]
+        for _, _, out in live:
+            while emitted and out[: len(emitted)] != emitted:
+                emitted = emitted[:-1]
+        if emitted:
+            n = len(emitted)
+            live = [(node, last, out[n:]) for node, last, out in live]
+        state = _pack(live)
         to = self.number.get(state)
         if to is None:
             to = self.number[state] = len(self.states)
             self.states.append(state)
-            self.final.append(next(out for node, _, out in state if node == 0))
-        edge = self.edges[key] = (to, emitted)
+            self.final.append(self._output(live[-1][2]))
+        edge = self.edges[key] = to << 24 | self._output(emitted)
         return edge
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > self.max_states:
+        if len(self.states) > self.max_states or len(self.outputs) > 1 << 22:
             self._reset()
-        state, out, edges = 0, [], self.edges
+        state, out, edges, outputs = 0, [], self.edges, self.outputs
         for b in piece:
-            key = state << 8 | b
-            state, emitted = edges.get(key) or self._grow(key)
-            if emitted:
-                out += emitted
-        return (*out, *self.final[state])
+            edge = edges.get(state << 8 | b)
+            if edge is None:
+                edge = self._grow(state << 8 | b)
+            state = edge >> 24
+            if edge & 0xFFFFFF:
+                out += outputs[edge & 0xFFFFFF]
+        return (*out, *outputs[self.final[state]])
+
+
+def _pack(live: list[tuple[int, int, tuple[int, ...]]]) -> bytes:
+    flat = array("i")
+    for node, last, out in live:
+        flat.extend((node, last, len(out), *out))
+    return flat.tobytes()
+
+
+def _unpack(state: bytes) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+    flat = memoryview(state).cast("i").tolist()
+    i = 0
+    while i < len(flat):
+        j = i + 3 + flat[i + 2]
+        yield flat[i], flat[i + 1], tuple(flat[i + 3 : j])
+        i = j
 
 
 class Utf8Stream:

@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from graphloom.llm import line_dedup, mixing, url_rules
+from graphloom.llm import bpe, line_dedup, mixing, url_rules
 
 QUERIES = {
     "op4_line_dedup": line_dedup.op4,
     "op6_mixing": mixing.op6,
     "op8_url_rules": url_rules.op8,
+    "op10_bpe": bpe.op10,
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.OP4_SQL,
