@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from graphloom.llm import bpe, line_dedup, mixing, url_rules
+from graphloom.llm import bpe, line_dedup, mixing, simhash, url_rules
 
 QUERIES = {
+    "op3_simhash": simhash.op3,
     "op4_line_dedup": line_dedup.op4,
     "op6_mixing": mixing.op6,
     "op8_url_rules": url_rules.op8,
