@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from graphloom.llm import bpe, line_dedup, mixing, simhash, url_rules
+from graphloom.llm import bpe, line_dedup, mixing, simhash, substring_dedup, url_rules
 
 QUERIES = {
     "op3_simhash": simhash.op3,
     "op4_line_dedup": line_dedup.op4,
+    "op5_substring_dedup": substring_dedup.op5,
     "op6_mixing": mixing.op6,
     "op8_url_rules": url_rules.op8,
     "op10_bpe": bpe.op10,
