@@ -19,7 +19,7 @@ Decoding streams: token bytes pass an incremental UTF-8 state machine that hands
 to the last whole character and keeps at most three bytes.
 
 Defined results: null text is empty text (0 tokens); any valid text round-trips byte for byte;
-special tokens are ordinary text; ids that aren't in the vocabulary raise KeyError; repeated
+special tokens are ordinary text; ids that aren't in the vocabulary raise an error; repeated
 rows are encoded each; extra columns pass through `encode`; an empty table gives no rows.
 Memory per worker: the trie, MAX_STATES states, MEMO pieces, one Arrow batch.
 """
@@ -43,7 +43,7 @@ from graphloom.llm.common import read, ship
 
 MAX_STATES = 400_000
 MAX_PAIRS = 400_000
-MEMO = 150_000
+MEMO = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -289,27 +289,31 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, memo: int = MEMO):
         self.fst = Transducer(ranks, max_states)
         # the pattern's white space is Unicode's White_Space property
-        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"[^\p{White_Space}", r"[^\p{White_Space}")).findall
-        self.bytes = self.fst.bytes
-        self.digits = {i: str(i) for i in self.bytes}
-        self.limit = memo
-        fst = self.fst
+        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        top = max(self.fst.bytes, default=-1) + 1
+        self.bytes = [self.fst.bytes.get(i) for i in range(top)]
+        self.digits = [str(i) for i in range(top)]
+        encode = self.fst.encode
+        older: dict[str, tuple[int, ...]] = {}
 
         class Memo(dict):
+            """Two generations: a full one becomes the older, from which pieces still in use come back."""
+
             def __missing__(self, piece: str) -> tuple[int, ...]:
-                ids = fst.encode(piece.encode())
-                if len(self) < memo:
-                    self[piece] = ids
+                nonlocal older
+                ids = older.get(piece)
+                if ids is None:
+                    ids = encode(piece.encode())
+                if len(self) >= memo:
+                    older = dict(self)
+                    self.clear()
+                self[piece] = ids
                 return ids
 
-        self.kind, self.memo, self.met = Memo, Memo(), 0
+        self.memo = Memo()
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
-        self.met += len(pieces)
-        if self.met > 40 * self.limit and len(self.memo) >= self.limit:
-            self.memo, self.met = self.kind(), 0
-        return list(chain.from_iterable(map(self.memo.__getitem__, pieces)))
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.pieces(text))))
 
     def decode(self, ids: Iterable[int]) -> str:
         stream = Utf8Stream()
