@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from graphloom.llm import bpe, line_dedup, mixing, simhash, substring_dedup, url_rules
+from graphloom.llm import bpe, html_text, line_dedup, mixing, simhash, substring_dedup, url_rules
 
 QUERIES = {
+    "op1_html_text": html_text.op1,
     "op3_simhash": simhash.op3,
     "op4_line_dedup": line_dedup.op4,
     "op5_substring_dedup": substring_dedup.op5,
