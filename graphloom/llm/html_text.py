@@ -27,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +42,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | frozenset("p li td th pre dd dt".split())
 NEVER = frozenset("head nav footer aside form button select option optgroup input label fieldset dialog menu svg canvas object audio video math map".split())
 #: A start tag ends these open elements, unless one of the fences is met first.
 CLOSES = {
@@ -60,7 +62,7 @@ ASIDES = frozenset(
 ROOTS = frozenset("html body main article".split())
 
 _TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*>",
+    r"<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^\"'>]|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*>",
     re.S,
 )
 _RAW_ENDS = {name: re.compile(rf"</{name}(?![A-Za-z0-9])[^>]*(?:>|\Z)", re.I) for name in RAW}
@@ -71,10 +73,12 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？\"'()«»„“”]")
 
 
 class Block:
-    __slots__ = ("chain", "linked", "path", "text")
+    """element: number of the innermost open element; path: number of the tag path; linked: share of the text in links."""
 
-    def __init__(self, text: str, path: tuple[str, ...], chain: tuple[int, ...], linked: float):
-        self.text, self.path, self.chain, self.linked = text, path, chain, linked
+    __slots__ = ("element", "linked", "path", "tag", "text")
+
+    def __init__(self, text: str, element: int, path: int, tag: str, linked: float):
+        self.text, self.element, self.path, self.tag, self.linked = text, element, path, tag, linked
 
 
 def _aside(name: str, rest: str, in_article: bool) -> bool:
@@ -96,23 +100,24 @@ def _aside(name: str, rest: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[list[Block], list[str]]:
-    """The page's text blocks outside asides, and the tags of its elements by number."""
-    tags, names, numbers = ["#root"], ["#root"], [0]  # all elements; the open ones; their numbers
+def blocks(page: str) -> tuple[list[Block], list[str], list[int]]:
+    """The page's text blocks outside asides; the tags and the parents of its elements by number."""
+    tags, parents, names, numbers = ["#root"], [0], ["#root"], [0]  # all elements; the open ones; their numbers
+    paths, path_numbers, block_tags = [0], {}, ["#root"]  # of the elements: number of the path of block tags, innermost block
+    opened = Counter()
     hidden_from = article_from = 0  # depth of the element that hides what is below / is the article
     out: list[Block] = []
     parts: list[str] = []
     linked = total = 0
     links = 0
-    block_at = 1  # open elements up to the innermost block
 
     def flush() -> None:
         nonlocal linked, total
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                keep = [i for i in range(1, len(names)) if names[i] in BLOCK]
-                out.append(Block(text, tuple(names[i] for i in keep), tuple(numbers), linked / max(total, 1)))
+                n = numbers[-1]
+                out.append(Block(text, n, paths[n], block_tags[n], linked / max(total, 1)))
             parts.clear()
         linked = total = 0
 
@@ -121,6 +126,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         while len(names) > depth:
             gone = names.pop()
             numbers.pop()
+            opened[gone] -= 1
             if gone == "a" and links:
                 links -= 1
         if hidden_from >= depth:
@@ -128,9 +134,9 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         if article_from >= depth:
             article_from = 0
 
-    at, end_of_page = 0, len(page)
+    at, end_of_page, last_tag = 0, len(page), page.rfind(">") + 1
     while at < end_of_page:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at < last_tag or page.find("<!--", at) >= 0 else None
         text = page[at : m.start()] if m else page[at:]
         if text and not hidden_from:
             parts.append(text)
@@ -147,7 +153,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         if m["end"] or m["end2"]:
             if name in BLOCK:
                 flush()
-            for depth in range(len(names) - 1, 0, -1):
+            for depth in range(len(names) - 1, 0, -1) if opened[name] else ():
                 if names[depth] == name:
                     close_to(depth)
                     break
@@ -163,7 +169,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         if name in BLOCK:
             flush()
             if name not in ("option", "optgroup"):
-                for depth in range(len(names) - 1, 0, -1):  # a block start ends an open paragraph
+                for depth in range(len(names) - 1, 0, -1) if opened["p"] else ():  # a block start ends an open paragraph
                     if names[depth] == "p":
                         close_to(depth)
                         break
@@ -183,16 +189,25 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             continue
         if rest.endswith("/") and name in ("svg", "path", "use", "circle", "rect", "line", "polygon", "g"):
             continue
+        parent = numbers[-1]
         names.append(name)
+        opened[name] += 1
+        numbers.append(len(tags))
         tags.append(name)
-        numbers.append(len(tags) - 1)
+        parents.append(parent)
+        if name in BLOCK:
+            paths.append(path_numbers.setdefault((paths[parent], name), len(path_numbers) + 1))
+            block_tags.append(name)
+        else:
+            paths.append(paths[parent])
+            block_tags.append(block_tags[parent])
         if not hidden_from and _aside(name, rest, bool(article_from)):
             hidden_from = len(names) - 1
         if name in ("article", "main") and not article_from:
             article_from = len(names) - 1
         links += name == "a"
     flush()
-    return out, tags
+    return out, tags, parents
 
 
 def _smooth(x: list[float], sigma: float = 1.0) -> list[float]:
@@ -211,7 +226,7 @@ def _smooth(x: list[float], sigma: float = 1.0) -> list[float]:
 
 def scores(found: list[Block]) -> list[float]:
     """Fused, smoothed path ratios, one per block."""
-    sums: dict[tuple[str, ...], list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in found:
         s = sums.setdefault(b.path, [0, 0, 0])
         s[0] += 1
@@ -226,32 +241,35 @@ def extract(page: str | None, share: float = 0.4, hold: float = 0.8) -> str:
     """The main text. share: of the mean score, above which a block is content; hold: of all content, what the article's element must hold."""
     if not page:
         return ""
-    found, tags = blocks(page)
+    found, tags, parents = blocks(page)
     if not found:
         return ""
     fused = scores(found)
     threshold = share * sum(fused) / len(fused)
-    weight = [len(b.text) * (1 - b.linked) if f >= threshold else 0.0 for b, f in zip(found, fused, strict=True)]
-    held: dict[int, float] = {}
-    for b, w in zip(found, weight, strict=True):
-        for n in b.chain:
-            held[n] = held.get(n, 0.0) + w + 1e-9 * len(b.text)
-    chosen = max((n for n in held if tags[n] == "article"), key=lambda n: (held[n], -n), default=None)
-    if chosen is None:
-        chosen = max((n for n in held if tags[n] == "main"), key=lambda n: (held[n], -n), default=None)
-    if chosen is None:
+    held = [0.0] * len(tags)
+    for b, f in zip(found, fused, strict=True):
+        held[b.element] += (len(b.text) * (1 - b.linked) if f >= threshold else 0.0) + 1e-9 * len(b.text)
+    for n in range(len(tags) - 1, 0, -1):  # parents come before their children
+        held[parents[n]] += held[n]
+    chosen = next((n for tag in ("article", "main") for n in [_largest(range(len(tags)), held, tags, (tag,))] if n), 0)
+    if not chosen:
         # down from the root while one child that is no leaf block holds nearly everything
-        chosen = 0
-        children: dict[int, set[int]] = {}
-        for b in found:
-            for parent, child in zip(b.chain, b.chain[1:], strict=False):
-                children.setdefault(parent, set()).add(child)
-        while True:
-            best = max((n for n in children.get(chosen, ()) if tags[n] in BLOCK and tags[n] not in HEADINGS and tags[n] not in ("p", "li", "td", "pre", "dd", "dt")), key=lambda n: (held[n], -n), default=None)
-            if best is None or held[best] < hold * held[chosen]:
-                break
+        children: dict[int, list[int]] = {}
+        for n in range(1, len(tags)):
+            if held[n]:
+                children.setdefault(parents[n], []).append(n)
+        while (best := _largest(children.get(chosen, ()), held, tags, BLOCK - LEAVES)) and held[best] >= hold * held[chosen]:
             chosen = best
-    return "\n".join(b.text for b, f in zip(found, fused, strict=True) if chosen in b.chain and (b.linked <= 0.5 or f >= threshold or b.path and b.path[-1] in HEADINGS))
+    inside = [False] * len(tags)
+    inside[chosen] = True
+    for n in range(1, len(tags)):
+        inside[n] |= inside[parents[n]]
+    return "\n".join(b.text for b, f in zip(found, fused, strict=True) if inside[b.element] and (b.linked <= 0.5 or f >= threshold or b.tag in HEADINGS))
+
+
+def _largest(numbers, held: list[float], tags: list[str], among) -> int:
+    """The element that holds most, the first of equals; 0 if none holds anything."""
+    return max((n for n in numbers if held[n] and tags[n] in among), key=lambda n: (held[n], -n), default=0)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
