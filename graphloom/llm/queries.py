@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from graphloom.llm import bpe, html_text, line_dedup, mixing, simhash, substring_dedup, url_rules
+from graphloom.llm import bpe, html_text, line_dedup, mixing, quality, simhash, substring_dedup, url_rules
 
 QUERIES = {
     "op1_html_text": html_text.op1,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4,
     "op5_substring_dedup": substring_dedup.op5,
     "op6_mixing": mixing.op6,
+    "op7_quality": quality.op7,
     "op8_url_rules": url_rules.op8,
     "op10_bpe": bpe.op10,
 }
