@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from graphloom.llm import bpe, html_text, line_dedup, mixing, quality, simhash, substring_dedup, url_rules
+from graphloom.llm import bpe, embedding_dedup, html_text, line_dedup, mixing, quality, simhash, substring_dedup, url_rules
 
 QUERIES = {
     "op1_html_text": html_text.op1,
+    "op2_embedding_dedup": embedding_dedup.op2,
     "op3_simhash": simhash.op3,
     "op4_line_dedup": line_dedup.op4,
     "op5_substring_dedup": substring_dedup.op5,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_bpe": bpe.op10,
 }
 ORACLES = {
+    "op2_embedding_dedup": embedding_dedup.OP2_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_url_rules": url_rules.OP8_SQL,
