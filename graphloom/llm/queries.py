@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from graphloom.llm import bpe, embedding_dedup, html_text, line_dedup, mixing, quality, simhash, substring_dedup, url_rules
+from graphloom.llm import bpe, embedding_dedup, html_text, line_dedup, mixing, quality, simhash, substring_dedup, topk, url_rules
 
 QUERIES = {
     "op1_html_text": html_text.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_mixing": mixing.op6,
     "op7_quality": quality.op7,
     "op8_url_rules": url_rules.op8,
+    "op9_topk": topk.op9,
     "op10_bpe": bpe.op10,
 }
 ORACLES = {
@@ -18,4 +19,5 @@ ORACLES = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_url_rules": url_rules.OP8_SQL,
+    "op9_topk": topk.OP9_SQL,
 }
