@@ -379,26 +379,35 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids: str = "token_i
     return tokens.select(*[F.col(f"`{c}`") for c in rest], ids).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, its ids decoded."""
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_too: bool = False) -> DataFrame:
+    """Every text encoded and its ids decoded: columns keep, n_tokens, ids_sha256, decoded_sha256, and token_ids if ids_too."""
     file = _share(docs.sparkSession, vocabulary)
-    kind = dict(docs.dtypes)["doc_id"]
+    more = [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] if ids_too else []
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(file, pattern)
         for b in batches:
-            n, coded, decoded = [], [], []
-            for i in range(b.num_rows):
-                ids = own.encode(b.column(1)[i].as_py() or "")
-                n.append(len(ids))
-                coded.append(sha256(",".join(map(own.digits.__getitem__, ids)).encode()).hexdigest())
-                back = sha256()
-                for part in own.decode_stream(ids):
-                    back.update(part.encode())
-                decoded.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            texts = b.column("_own_text")
+            for start in range(0, b.num_rows, 256):  # bounds what is held encoded
+                n, coded, decoded, rows = [], [], [], []
+                for i in range(start, min(start + 256, b.num_rows)):
+                    ids = own.encode(texts[i].as_py() or "")
+                    n.append(len(ids))
+                    coded.append(sha256(",".join(map(own.digits.__getitem__, ids)).encode()).hexdigest())
+                    back = sha256()
+                    for part in own.decode_stream(ids):
+                        back.update(part.encode())
+                    decoded.append(back.hexdigest())
+                    if ids_too:
+                        rows.append(np.array(ids, np.int32))
+                columns = [*[b.column(c).slice(start, len(n)) for c in keep], pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+                if ids_too:
+                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows))))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_own_text")).mapInArrow(run, schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
