@@ -41,9 +41,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from graphloom.llm.common import read, ship
 
-MAX_STATES = 400_000
-MAX_PAIRS = 400_000
-MEMO = 300_000
+MAX_STATES = 200_000
+MAX_PAIRS = 150_000
+MEMO = 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -38,7 +38,7 @@ MAX_ROWS = 12_000
 GRADES = 3
 SELECT = 2
 CUTOFF = 0.5
-MEMO = 200_000
+MEMO = 100_000
 
 
 def _place(feature: str) -> int:
