@@ -41,8 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from graphloom.llm.common import read, ship
 
-MAX_STATES = 200_000
-MAX_PAIRS = 150_000
+MAX_STATES = 400_000
 MEMO = 120_000
 
 
@@ -83,8 +82,7 @@ class Transducer:
             self.token_at[node] = i
         self.longest = max(map(len, ranks), default=0)
         self._whole: dict[int, bool] = {}
-        self._spines: dict[int, tuple[list[tuple[bytes, float]], list[tuple[bytes, float]]] | None] = {}
-        self._pairs: dict[int, bool] = {}
+        self._spines: dict[int, tuple[tuple[int, ...], tuple[int, ...]] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -111,33 +109,23 @@ class Transducer:
         return self._whole[token]
 
     def may_follow(self, last: int, token: int) -> bool:
-        if last < 0:
-            return self.reachable(token)
-        key = last << 32 | token
-        found = self._pairs.get(key)
-        if found is None:
-            if len(self._pairs) >= MAX_PAIRS:
-                self._pairs.clear()
-            found = self._pairs[key] = self._apart(last, token)
-        return found
-
-    def _spine(self, token: int) -> tuple[list[tuple[bytes, float]], list[tuple[bytes, float]]] | None:
-        """The parts at the token's right and left edge while it is being merged, each with the rank
-        that ends it, last first; None if some part ranks above what it becomes."""
+        return self.reachable(token) if last < 0 else self._apart(last, token)
+
+    def _spine(self, token: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+        """The parts at the token's right and left edge while it is being merged, from the whole down to
+        a byte: each ends when it becomes the one before it. None if some part ranks above what it becomes."""
         if token not in self._spines:
-            edges: list[list[tuple[bytes, float]]] = []
+            edges: list[tuple[int, ...]] = []
             for side in (-1, 0):
-                part, until, spine = self.bytes[token], float("inf"), []
-                while True:
-                    spine.append((part, until))
-                    if len(part) == 1:
-                        break
-                    until, halves = self.ranks[part], self._halves(part)
-                    if any(self.ranks[h] >= until and len(h) > 1 for h in halves):
+                part, spine = token, [token]
+                while len(self.bytes[part]) > 1:
+                    halves = [self.ranks[h] for h in self._halves(self.bytes[part])]
+                    if any(h >= part and len(self.bytes[h]) > 1 for h in halves):
                         self._spines[token] = None
                         return None
                     part = halves[side]
-                edges.append(spine)
+                    spine.append(part)
+                edges.append(tuple(spine))
             self._spines[token] = (edges[0], edges[1])
         return self._spines[token]
 
@@ -162,15 +150,15 @@ class Transducer:
         left, right = self._spine(last), self._spine(token)
         if left is None or right is None:
             return merge(self.bytes[last] + self.bytes[token], self.ranks) == [last, token]
-        (rights, lefts), ranks = (left[0], right[1]), self.ranks
-        i = j = 0
-        while i < len(rights) and j < len(lefts):
-            (x, x_ends), (y, y_ends) = rights[i], lefts[j]
-            r = ranks.get(x + y)
-            if r is not None and r < x_ends and r <= y_ends:
+        rights, lefts, i, j = left[0], right[1], 0, 0
+        while True:
+            x, y = rights[i], lefts[j]
+            xb, yb = self.bytes[x], self.bytes[y]
+            r = self.ranks.get(xb + yb)
+            if r is not None and (i == 0 or r < rights[i - 1]) and (j == 0 or r <= lefts[j - 1]):
                 return False
             # the younger of the two did not exist before: go back past its birth
-            x_born, y_born = (ranks[x] if len(x) > 1 else -1), (ranks[y] if len(y) > 1 else -1)
+            x_born, y_born = (x if len(xb) > 1 else -1), (y if len(yb) > 1 else -1)
             if x_born < 0 and y_born < 0:
                 break
             if x_born >= y_born:
