@@ -98,7 +98,7 @@ def xml_escape(text: Column) -> Column:
 def fence(text: Column) -> Column:
     """A Markdown fence longer than any run of backticks in the text, three at least."""
     longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("(`+)"), 1), lambda x: F.char_length(x))), F.lit(0))
-    return F.expr("repeat('`', 0)") if text is None else F.repeat(F.lit("`"), F.greatest(F.lit(3), longest + 1))
+    return F.repeat(F.lit("`"), F.greatest(F.lit(3), longest + 1))
 
 
 def attribute(line: Column, name: str) -> Column:
@@ -111,13 +111,9 @@ def clean_type_name(name: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    k = F.lit(1024.0)
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / k))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / k / k))
-        .otherwise(F.format_string("%.1f GB", n / k / k / k))
-    )
+    """With one decimal, halves to even."""
+    scaled = lambda power, unit: F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**power)), 1))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1, "KB")).when(n < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 
 def rust_tests(text: Column) -> Column:

@@ -20,6 +20,10 @@ def query_terms(query: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", query.lower()) if t and len(t.encode()) <= LONGEST_TOKEN]
 
 
+def _times(tokens: Column, word: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == word))
+
+
 def bm25(docs: DataFrame, doc_id: str, fields: list[str], query: str, limit: int | None = 50) -> DataFrame:
     """(doc_id, score): the sum over fields and query terms; a term asked twice counts twice.
 
@@ -31,7 +35,7 @@ def bm25(docs: DataFrame, doc_id: str, fields: list[str], query: str, limit: int
         return docs.select(doc_id, F.lit(0.0).alias("score")).limit(0)
     wanted = list(dict.fromkeys(terms))
     one = docs.select(F.col(doc_id), *[analyse(F.coalesce(F.col(f), F.lit(""))).alias(f"t_{f}") for f in fields])
-    tf = {(f, i): F.size(F.filter(F.col(f"t_{f}"), lambda x, w=w: x == w)) for f in fields for i, w in enumerate(wanted)}
+    tf = {(f, i): _times(F.col(f"t_{f}"), w) for f in fields for i, w in enumerate(wanted)}
     counted = one.select(doc_id, *[F.size(f"t_{f}").alias(f"len_{f}") for f in fields], *[c.alias(f"tf_{f}_{i}") for (f, i), c in tf.items()])
     totals = counted.agg(
         F.count(F.lit(1)).alias("docs"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields], *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f, i in tf]
