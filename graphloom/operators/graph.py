@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from graphloom.durable import cut
 from graphloom.functions.text import callee_name, file_name, is_method_call, stem, tokenize
 from graphloom.sources.schemas import CONTAINER_KINDS
 
@@ -22,16 +21,6 @@ KINDS = {
 }
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut a loop's lineage through files that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    at = (at or f"file:///tmp/checkpoints/graphloom-{spark.sparkContext.applicationId}").rstrip("/")
-    path = f"{at}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def resolve_names(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
     """One Call edge per enclosed call; the target is set if just one symbol of a fitting kind has the name.
 
@@ -145,13 +134,13 @@ def slice_from(edges: DataFrame, symbols: DataFrame, roots: DataFrame, reverse:
         tests = symbols.where("kind = 'Test'").select("id")
         step = step.join(tests.select(F.col("id").alias("b")), "b", "left_anti")
         roots = roots.join(tests, "id", "left_anti")
-    step = checkpoint(step.select("a", "b"))
-    layers = [checkpoint(roots.select("id").distinct())]
+    step = cut(step.select("a", "b"))
+    layers = [cut(roots.select("id").distinct())]
     while (max_depth is None or len(layers) <= max_depth) and len(layers) <= max_rounds:
         reached = layers[0]
         for layer in layers[1:]:
             reached = reached.unionAll(layer)
-        nxt = checkpoint(step.join(layers[-1].select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(reached, "id", "left_anti"))
+        nxt = cut(step.join(layers[-1].select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(reached, "id", "left_anti"))
         if nxt.isEmpty():
             break
         layers.append(nxt)
@@ -167,9 +156,9 @@ def context(edges: DataFrame, symbols: DataFrame, roots: DataFrame, mode: str, m
 
     Impact goes in at every depth and out at the first only."""
     used = edges.where(F.col("kind").isin(kinds or KINDS.get(mode, DEFAULT_KINDS)) & F.col("to_symbol_id").isNotNull() & (F.col("confidence") != "Unresolved"))
-    used = checkpoint(used.select("from_symbol_id", "to_symbol_id", "confidence"))
+    used = cut(used.select("from_symbol_id", "to_symbol_id", "confidence"))
     schema_root = roots.select("id", F.lit(0).alias("distance"), F.lit(None).cast("long").alias("parent_id"), F.lit("root").alias("direction"))
-    layers = [checkpoint(schema_root.dropDuplicates(["id"]))]
+    layers = [cut(schema_root.dropDuplicates(["id"]))]
     for depth in range(min(max_depth, max_rounds)):
         ways = ("in", "out") if mode == "impact" and depth == 0 else DIRECTIONS[mode]
         here = layers[-1].select(F.col("id").alias("parent_id"))
@@ -182,7 +171,7 @@ def context(edges: DataFrame, symbols: DataFrame, roots: DataFrame, mode: str, m
         reached = layers[0].select("id")
         for layer in layers[1:]:
             reached = reached.unionAll(layer.select("id"))
-        nxt = checkpoint(best.join(reached, "id", "left_anti").select("id", F.lit(depth + 1).alias("distance"), F.col("x.parent_id").alias("parent_id"), F.col("x.direction").alias("direction")))
+        nxt = cut(best.join(reached, "id", "left_anti").select("id", F.lit(depth + 1).alias("distance"), F.col("x.parent_id").alias("parent_id"), F.col("x.direction").alias("direction")))
         if nxt.isEmpty():
             break
         layers.append(nxt)

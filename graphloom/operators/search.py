@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from graphloom.durable import cut
+
 K1, B = 1.2, 0.75
 LONGEST_TOKEN = 40
 RRF_K = 60
@@ -28,15 +30,18 @@ def bm25(docs: DataFrame, doc_id: str, fields: list[str], query: str, limit: int
     """(doc_id, score): the sum over fields and query terms; a term asked twice counts twice.
 
     One scan: per document and field only the length and the query terms' frequencies are
-    kept. Sums and document frequencies are one global aggregation of a row; nothing is
-    exploded, so cost doesn't depend on vocabulary."""
+    kept, in a shared table. Sums and document frequencies are one aggregation to a single row;
+    nothing is exploded, so cost doesn't depend on vocabulary."""
     terms = query_terms(query)
     if not terms:
         return docs.select(doc_id, F.lit(0.0).alias("score")).limit(0)
     wanted = list(dict.fromkeys(terms))
     one = docs.select(F.col(doc_id), *[analyse(F.coalesce(F.col(f), F.lit(""))).alias(f"t_{f}") for f in fields])
-    tf = {(f, i): _times(F.col(f"t_{f}"), w) for f in fields for i, w in enumerate(wanted)}
-    counted = one.select(doc_id, *[F.size(f"t_{f}").alias(f"len_{f}") for f in fields], *[c.alias(f"tf_{f}_{i}") for (f, i), c in tf.items()])
+    # tokens are walked once for all terms; what is left of them is short
+    met = one.select(doc_id, *[F.size(f"t_{f}").alias(f"len_{f}") for f in fields], *[F.filter(f"t_{f}", lambda x: x.isin(wanted)).alias(f"m_{f}") for f in fields])
+    tf = {(f, i): _times(F.col(f"m_{f}"), w) for f in fields for i, w in enumerate(wanted)}
+    # text is analysed once; the statistics and the scores both read these narrow rows
+    counted = cut(met.select(doc_id, *[f"len_{f}" for f in fields], *[c.alias(f"tf_{f}_{i}") for (f, i), c in tf.items()]))
     totals = counted.agg(
         F.count(F.lit(1)).alias("docs"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields], *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f, i in tf]
     )
