@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from graphloom.durable import cut, drop_cut, shared_dir
+
+__all__ = ["ascii_lower", "components", "count_words", "cut", "drop_cut", "input_bytes", "read", "shared_dir", "ship"]
+
 ROOT = Path(__file__).resolve().parents[2]
 #: Words are runs of anything but space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,52 +36,6 @@ def ship(spark: SparkSession) -> None:
     sc._graphloom_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file:///tmp/checkpoints/graphloom-{sc.applicationId}"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-_cuts: list[tuple[SparkSession, str]] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _cuts:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone; its shared folder is then the cluster's to clear
-            return
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _cuts.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Remove the files behind a frame that cut() returned and that nothing will read again."""
-    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for item in [x for x in _cuts if any(p.endswith(x[1].rsplit("/", 1)[1]) for p in paths)]:
-        _delete(*item)
-        _cuts.remove(item)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's size: the files' bytes for a scan, less for fewer columns; costs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

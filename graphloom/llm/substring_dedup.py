@@ -42,7 +42,7 @@ WIDTH = 13
 GROUP = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BUCKET_BYTES = 2 << 20
-FEWEST_BUCKETS = 128
+FEWEST_BUCKETS = 64
 
 
 def words_of(text: bytes) -> list[bytes]:
