@@ -39,7 +39,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from graphloom.llm.common import read, ship
+from graphloom.llm.common import fresh, read, ship
 
 MAX_STATES = 400_000
 MEMO = 120_000
@@ -335,7 +335,8 @@ def _share(spark: SparkSession, vocabulary: str) -> str:
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with token_ids array<int> in place of text."""
+    """docs with token_ids array<int> in place of text, and of any column of that name."""
+    docs = docs.drop("token_ids")
     file = _share(docs.sparkSession, vocabulary)
     rest = [c for c in docs.columns if c != text]
     schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
@@ -370,13 +371,14 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids: str = "token_i
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_too: bool = False) -> DataFrame:
     """Every text encoded and its ids decoded: columns keep, n_tokens, ids_sha256, decoded_sha256, and token_ids if ids_too."""
     file = _share(docs.sparkSession, vocabulary)
+    own_text = fresh(list(keep), "_own_text")
     more = [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] if ids_too else []
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(file, pattern)
         for b in batches:
-            texts = b.column("_own_text")
+            texts = b.column(own_text)
             for start in range(0, b.num_rows, 256):  # bounds what is held encoded
                 n, coded, decoded, rows = [], [], [], []
                 for i in range(start, min(start + 256, b.num_rows)):
@@ -395,7 +397,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows))))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_own_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(own_text)).mapInArrow(run, schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

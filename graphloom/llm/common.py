@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.durable import cut, drop_cut, shared_dir
 
-__all__ = ["ascii_lower", "components", "count_words", "cut", "drop_cut", "input_bytes", "read", "shared_dir", "ship"]
+__all__ = ["ascii_lower", "components", "count_words", "cut", "drop_cut", "fresh", "read", "shared_dir", "ship", "text_bytes"]
 
 ROOT = Path(__file__).resolve().parents[2]
 #: Words are runs of anything but space and the control characters tab to carriage return.
@@ -36,9 +36,20 @@ def ship(spark: SparkSession) -> None:
     sc._graphloom_shipped = True
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size: the files' bytes for a scan, less for fewer columns; costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text: str) -> int:
+    """About how large the text is: Catalyst's estimate from the files, which costs no job; where it knows nothing, the sum."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 44:
+        return known
+    return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+
+
+def fresh(columns: list[str], base: str) -> str:
+    """A column name that clashes with none of columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def count_words(text: Column) -> Column:

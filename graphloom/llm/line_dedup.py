@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import cut, read
+from graphloom.llm.common import cut, fresh, read
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -50,27 +50,27 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
 
 
 def drop_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """All columns of pages with the text rewritten, plus _n_lines and _n_removed."""
+    """All columns of pages with the text rewritten, plus _n_lines and _n_removed, which replace any of those names."""
+    pages = pages.drop("_n_lines", "_n_removed")
+    columns = pages.columns
+    own_host, own_text, drop, kept, key = (fresh(columns, c) for c in ("_host", "_key", "_drop", "_kept", "_text_key"))
     found = cut(boilerplate(pages, host, text, ratio, min_pages).select("host", "line_key"), "boilerplate")
     lines = _lines(F.col(text))
     if found.count() <= max_broadcast:
-        by_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line_key").alias("_drop"))
-        joined = pages.join(F.broadcast(by_host), F.col(host) == F.col("_host"), "left")
-        keep = F.filter(lines, lambda x: (_trim(x) == "") | ~F.array_contains(F.col("_drop"), F.xxhash64(_trim(x))))
-        kept = F.when(F.col("_drop").isNull(), lines).otherwise(keep)
+        by_host = found.groupBy(F.col("host").alias(own_host)).agg(F.collect_list("line_key").alias(drop))
+        joined = pages.join(F.broadcast(by_host), F.col(host) == F.col(own_host), "left")
     else:
-        marked = pages.withColumn("_text_key", F.xxhash64(text))
-        own = marked.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), "_text_key", F.explode(F.array_distinct(F.transform(lines, _trim))).alias("line"))
-        hit = own.where("line <> ''").select("host", "_text_key", F.xxhash64("line").alias("line_key")).distinct().join(found, ["host", "line_key"])
-        by_text = hit.groupBy(F.col("host").alias("_host"), F.col("_text_key").alias("_key")).agg(F.collect_set("line_key").alias("_drop"))
-        joined = marked.join(by_text, (F.col(host) == F.col("_host")) & (F.col("_text_key") == F.col("_key")), "left")
-        keep = F.filter(lines, lambda x: (_trim(x) == "") | ~F.array_contains(F.col("_drop"), F.xxhash64(_trim(x))))
-        kept = F.when(F.col("_drop").isNull(), lines).otherwise(keep)
-    out = joined.withColumn("_kept", kept)
-    n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    out = out.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(n)).withColumn("_n_removed", F.when(F.col(text).isNull(), 0).otherwise(n - F.size("_kept")).cast("long"))
-    new = F.when(F.col("_n_removed") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))
-    return out.withColumn(text, new).select(*[F.col(f"`{c}`") for c in pages.columns], "_n_lines", "_n_removed")
+        marked = pages.withColumn(key, F.xxhash64(text))
+        own = marked.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(key).alias("text_key"), F.explode(F.array_distinct(F.transform(lines, _trim))).alias("line"))
+        hit = own.where("line <> ''").select("host", "text_key", F.xxhash64("line").alias("line_key")).distinct().join(found, ["host", "line_key"])
+        by_text = hit.groupBy(F.col("host").alias(own_host), F.col("text_key").alias(own_text)).agg(F.collect_set("line_key").alias(drop))
+        joined = marked.join(by_text, (F.col(host) == F.col(own_host)) & (F.col(key) == F.col(own_text)), "left")
+    keep = F.filter(lines, lambda x: (_trim(x) == "") | ~F.array_contains(F.col(drop), F.xxhash64(_trim(x))))
+    out = joined.withColumn(kept, F.when(F.col(drop).isNull(), lines).otherwise(keep))
+    n = lambda c: F.when(F.col(text).isNull(), 0).otherwise(F.size(c)).cast("long")
+    out = out.withColumn("_n_lines", n(lines)).withColumn("_n_removed", n(lines) - n(F.col(kept)))
+    new = F.when(F.col("_n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
+    return out.withColumn(text, new).select(*[F.col(f"`{c}`") for c in columns], "_n_lines", "_n_removed")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from graphloom.llm.common import count_words, cut, read
+from graphloom.llm.common import count_words, cut, fresh, read
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -92,11 +92,11 @@ def decide(sizes: DataFrame, planned: DataFrame, seed: str = SEED) -> DataFrame:
 
 def emit(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with all its columns."""
-    planned = plan(sizes_of(docs, text, source), weights, max_epochs, seed).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("shift").alias("_shift"))
-    joined = docs.join(planned, F.col(source).eqNullSafe(F.col("_source")))
-    n = copies(unit_hash(F.col("doc_id"), seed), F.col("_shift"), F.col("_rate"))
-    repeated = joined.withColumn("_n", n.cast("int")).where("_n > 0")
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_copy")).drop("_copy")
+    own, rate, shift, n, copy = (fresh(docs.columns, c) for c in ("_source", "_rate", "_shift", "_n", "_copy"))
+    planned = plan(sizes_of(docs, text, source), weights, max_epochs, seed).select(F.col("source").alias(own), F.col("rate").alias(rate), F.col("shift").alias(shift))
+    joined = docs.join(planned, F.col(source).eqNullSafe(F.col(own)))
+    repeated = joined.withColumn(n, copies(unit_hash(F.col("doc_id"), seed), F.col(shift), F.col(rate)).cast("int")).where(F.col(n) > 0)
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col(n))).alias(copy)).drop(copy)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

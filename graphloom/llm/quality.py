@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from graphloom.llm.common import read, ship
+from graphloom.llm.common import fresh, read, ship
 
 BITS = 18
 MAX_ROWS = 12_000
@@ -180,37 +180,39 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model | Non
     return fit([np.frombuffer(r["places"], np.int32) for r in got], np.array([r["grade"] for r in got]))
 
 
-def _scored(docs: DataFrame, model: Model | None, text: str, keep_columns: list[str]) -> DataFrame:
-    """keep_columns of docs, _expected and _tail."""
-    rest = docs.select(*[F.col(f"`{c}`") for c in keep_columns], F.col(text).alias("_scored_text"))
+def _scored(docs: DataFrame, model: Model | None, text: str, keep_columns: list[str]) -> tuple[DataFrame, str, str]:
+    """keep_columns of docs, then the expected grade and the tail probability, whose names come with it."""
+    own_text, expected, tail = (fresh(keep_columns, c) for c in ("_scored_text", "_expected", "_tail"))
+    rest = docs.select(*[F.col(f"`{c}`") for c in keep_columns], F.col(text).alias(own_text))
     if model is None:
-        return rest.select(*[F.col(f"`{c}`") for c in keep_columns], F.lit(None).cast("double").alias("_expected"), F.lit(None).cast("double").alias("_tail"))
+        null = F.lit(None).cast("double")
+        return rest.drop(own_text).select("*", null.alias(expected), null.alias(tail)), expected, tail
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, m = Features(), shared.value
         for b in batches:
-            texts = b.column("_scored_text")
+            texts = b.column(own_text)
             score = np.array([m.weights[own.of(texts[i].as_py())].sum(dtype=np.float64) for i in range(b.num_rows)])
             tails = m.tails(score) if b.num_rows else np.zeros((0, GRADES - 1))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep_columns], pa.array(tails.sum(axis=1)), pa.array(tails[:, SELECT - 1])], [*keep_columns, "_expected", "_tail"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep_columns], pa.array(tails.sum(axis=1)), pa.array(tails[:, SELECT - 1])], [*keep_columns, expected, tail])
 
-    schema = T.StructType([*[docs.schema[c] for c in keep_columns], T.StructField("_expected", T.DoubleType()), T.StructField("_tail", T.DoubleType())])
-    return rest.mapInArrow(run, schema)
+    schema = T.StructType([*[docs.schema[c] for c in keep_columns], T.StructField(expected, T.DoubleType()), T.StructField(tail, T.DoubleType())])
+    return rest.mapInArrow(run, schema), expected, tail
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """Rows (doc_id, expected_grade, tail_probability, kept)."""
     ship(docs.sparkSession)
-    out = _scored(docs, train(docs, labels, text), text, ["doc_id"])
-    return out.select("doc_id", F.round("_expected", 6).alias("expected_grade"), F.round("_tail", 6).alias("tail_probability"), (F.col("_tail").isNull() | (F.col("_tail") >= CUTOFF)).alias("kept"))
+    out, expected, tail = _scored(docs, train(docs, labels, text), text, ["doc_id"])
+    return out.select("doc_id", F.round(expected, 6).alias("expected_grade"), F.round(tail, 6).alias("tail_probability"), (F.col(tail).isNull() | (F.col(tail) >= CUTOFF)).alias("kept"))
 
 
 def select(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """docs, all columns, without the rows that the classifier rejects."""
     ship(docs.sparkSession)
-    out = _scored(docs, train(docs, labels, text), text, docs.columns)
-    return out.where(F.col("_tail").isNull() | (F.col("_tail") >= CUTOFF)).drop("_expected", "_tail")
+    out, expected, tail = _scored(docs, train(docs, labels, text), text, docs.columns)
+    return out.where(F.col(tail).isNull() | (F.col(tail) >= CUTOFF)).drop(expected, tail)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import components, cut, read, ship
+from graphloom.llm.common import components, cut, fresh, read, ship
 
 SEED = 42
 DISTANCE = 3
@@ -182,8 +182,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", long_run: int = LONG_RU
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows whose doc_id isn't their component's id; repeated rows with that id stay once."""
-    first = cut(near_duplicates(docs, text).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).count(), "simhash-kept")
-    whole = docs.join(first.hint("shuffle_hash"), docs["doc_id"] == F.col("_kept"), "left_semi")
+    kept = fresh(docs.columns, "_kept")
+    first = cut(near_duplicates(docs, text).where("doc_id = component_id").groupBy(F.col("doc_id").alias(kept)).count(), "simhash-kept")
+    whole = docs.join(first.hint("shuffle_hash"), docs["doc_id"] == first[kept], "left_semi")
     return whole if first.where("count > 1").isEmpty() else whole.dropDuplicates(["doc_id"])
 
 

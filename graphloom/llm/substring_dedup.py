@@ -9,7 +9,7 @@ The top bits choose the bucket, of which there are a power of two that grows wit
 the rest (7 bytes) is sent. 62 bits or more thus tell sequences apart: of n windows, n**2 / 2**63
 pairs collide at 0.5 GB of input, about 0.002; with the number of windows in a bucket held, the
 expected number of windows that go wrongly is n * 2e-11 at any size up to 2**8 buckets, and
-n**2 / 2**65 beyond.
+n**2 / 2**65 beyond (there are 2**17 at most).
 
 Plan: map tasks take groups of about GROUP words. Within a group a hash is first reduced to its
 least doc_id: windows of later documents are marked at once, so a passage that a third of all
@@ -36,7 +36,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from graphloom.llm.common import input_bytes, read, ship
+from graphloom.llm.common import fresh, read, ship, text_bytes
 
 WIDTH = 13
 GROUP = 1_000_000
@@ -261,7 +261,7 @@ def _intervals(width: int):
 def intervals(docs: DataFrame, text: str = "text", width: int = WIDTH, keyed: bool = False) -> DataFrame:
     """Rows (doc_id, text_key, spans): what to remove, as flat [start, end) word numbers; documents that lose nothing have none."""
     ship(docs.sparkSession)
-    bits = min(30, (max(FEWEST_BUCKETS, input_bytes(docs) // BUCKET_BYTES) - 1).bit_length())
+    bits = min(17, (max(FEWEST_BUCKETS, text_bytes(docs, text) // BUCKET_BYTES) - 1).bit_length())
     n = 1 << bits
     windows = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_windows(width, bits, keyed), PACKED)
     marks = windows.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_mark(bits, keyed), PACKED)
@@ -285,29 +285,32 @@ def _apply(docs: DataFrame, text: str, width: int, out: T.StructType, make) -> D
     ids = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count()
     keyed = not ids.where("count > 1").isEmpty()
     found = intervals(docs, text, width, keyed)
-    on = docs["doc_id"].cast("long") == F.col("_doc")
+    doc, key, own = (fresh(docs.columns, c) for c in ("_doc", "_key", "_spans"))
+    on = docs["doc_id"].cast("long") == F.col(doc)
     if keyed:
-        on &= F.xxhash64(text) == F.col("_key")
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    joined = docs.join(found.hint("shuffle_hash"), on, "left").select(*[docs[f"`{c}`"] for c in docs.columns], "_spans")
+        on &= F.xxhash64(text) == F.col(key)
+    found = found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(own))
+    joined = docs.join(found.hint("shuffle_hash"), on, "left").select(*[docs[f"`{c}`"] for c in docs.columns], own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans = b.column(text).cast(pa.binary()), b.column("_spans")
+            texts, spans = b.column(text).cast(pa.binary()), b.column(own)
             yield make(b, (_cut_words(texts[i].as_py(), spans[i].values.to_numpy() if spans[i].is_valid else None) for i in range(b.num_rows)))
 
     return joined.mapInArrow(run, out)
 
 
 def remove(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """docs with the kept words, joined by one space, as text (null stays null), plus _n_words and _n_removed."""
+    """docs with the kept words, joined by one space, as text (null stays null), plus _n_words and _n_removed, which replace any of those names."""
+    docs = docs.drop("_n_words", "_n_removed")
+    names = docs.columns
     schema = T.StructType([*docs.schema, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
 
     def make(b: pa.RecordBatch, rows) -> pa.RecordBatch:
         rows = list(rows)
         null = b.column(text).is_null().to_pylist()
-        columns = [pa.array([None if x else b" ".join(w).decode() for x, (_, w) in zip(null, rows, strict=True)], pa.string()) if c == text else b.column(c) for c in docs.columns]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in rows], pa.int64()), pa.array([n - len(w) for n, w in rows], pa.int64())], [*docs.columns, "_n_words", "_n_removed"])
+        columns = [pa.array([None if x else b" ".join(w).decode() for x, (_, w) in zip(null, rows, strict=True)], pa.string()) if c == text else b.column(c) for c in names]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in rows], pa.int64()), pa.array([n - len(w) for n, w in rows], pa.int64())], [*names, "_n_words", "_n_removed"])
 
     return _apply(docs, text, width, schema, make)
 
