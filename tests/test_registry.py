@@ -3,8 +3,12 @@
 import pytest
 from compare import connect, of_duck, of_spark
 
+from graphloom.plans import more  # noqa: F401
 from graphloom.plans.registry import ORACLES, QUERIES
 
+#: Rows depend on a driver loop with state, or on a parser: held by tests of their own.
+WITHOUT_SQL = {"layered_retrieval", "python_symbols"}
+
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -12,14 +16,22 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query_matches_sql(spark, sf_dir, con, name):
     assert of_spark(QUERIES[name](spark, sf_dir)) == of_duck(con, ORACLES[name])
 
 
+def test_queries_without_sql(spark, sf_dir):
+    packed = QUERIES["layered_retrieval"](spark, sf_dir).collect()
+    assert sum(r.is_root for r in packed) == 1 and len(packed) > 1 and {r.distance for r in packed} <= {0, 1, 2, 3}
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    got = {(r.row, r.kind): r.n for r in QUERIES["python_symbols"](spark, sf_dir).collect()}
+    assert got == {("symbol", "Class"): n, ("symbol", "Method"): n, ("symbol", "Function"): n, ("occurrence", "Call"): 2 * n}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
