@@ -11,20 +11,40 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.durable import cut, drop_cut, shared_dir
 
-__all__ = ["ascii_lower", "components", "count_words", "cut", "drop_cut", "fresh", "read", "shared_dir", "ship", "text_bytes"]
+__all__ = ["ascii_lower", "components", "count_words", "cut", "drop_cut", "fresh", "read", "shared_dir", "ship", "text_bytes", "trim"]
 
 ROOT = Path(__file__).resolve().parents[2]
 #: Words are runs of anything but space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def trim() -> None:
+    """In a Python worker: give freed memory back to the system, which allocators otherwise keep."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows that a Python worker is handed at once: texts can be long.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers, where PYTHONPATH doesn't already do so."""
+    """Make this package importable by Python workers, where PYTHONPATH doesn't already do so, and bound what they are handed at once."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if getattr(sc, "_graphloom_shipped", False) or any(p and Path(p).resolve() == ROOT for p in known):
         return

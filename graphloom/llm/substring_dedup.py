@@ -36,10 +36,10 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from graphloom.llm.common import fresh, read, ship, text_bytes
+from graphloom.llm.common import fresh, read, ship, text_bytes, trim
 
 WIDTH = 13
-GROUP = 1_000_000
+GROUP = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BUCKET_BYTES = 2 << 20
 FEWEST_BUCKETS = 64
@@ -177,6 +177,7 @@ def _windows(width: int, bits: int, keyed: bool):
                 if held >= GROUP:
                     yield from group(ids, hashed, keys)
                     ids, hashed, keys, held = [], [], [], 0
+                    trim()
         if ids:
             yield from group(ids, hashed, keys)
 
@@ -200,7 +201,8 @@ def _mark(bits: int, keyed: bool):
             docs.append(np.repeat(doc, count))
             keys.append(np.repeat(key if keyed else np.zeros(len(doc), np.int64), count))
             places.append(at - np.repeat(start, count))
-        h, doc, key, place = map(np.concatenate, (hs, docs, keys, places))
+        h, doc, key, place = (np.concatenate(x) for x in (hs, docs, keys, places))
+        del hs, docs, keys, places
         later = _least(h, doc)
         yield _packed([(b, 1, b"", blob) for b, blob in _by_document(doc[later], key[later], place[later], bits)])
 
@@ -217,10 +219,13 @@ def _mark(bits: int, keyed: bool):
                     if buckets[i] != current and held:
                         yield from judge(held)
                         held = []
+                        trim()
                     current = buckets[i]
                     held.append((b.column("hashes")[i].as_py(), b.column("rest")[i].as_py()))
         if held:
             yield from judge(held)
+            held = []
+            trim()
 
     return run
 
