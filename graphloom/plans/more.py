@@ -47,13 +47,13 @@ def child_chunks(spark, sf):
     return _chunk_table(spark, sf).where("parent_chunk_id is not null").select("parent_chunk_id", "id", n.alias("n")).where("n <= 3")
 
 
-@register("hit_expansion", f"""WITH {_CHUNKS}, h AS (SELECT id AS chunk_id, (id * 37 % 101) / 101.0::DOUBLE AS score FROM ch WHERE id % 5 = 0), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM h
+@register("hit_expansion", f"""WITH {_CHUNKS}, h AS (SELECT id AS chunk_id, (id * 37 % 101) / 101.0::DOUBLE AS score FROM ch), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM h
   ), e AS (SELECT c.symbol_id, score * 1.0 AS score, place, 0 AS origin, 0 AS n FROM p JOIN ch c ON c.id = p.chunk_id UNION ALL SELECT u.symbol_id, score * 0.8::DOUBLE, place, 1, 0 FROM p JOIN ch c ON c.id = p.chunk_id JOIN ch u ON u.id = c.parent_chunk_id
   UNION ALL SELECT symbol_id, score * 0.7::DOUBLE, place, 2, n FROM (SELECT d.symbol_id, score, place, row_number() OVER (PARTITION BY p.chunk_id ORDER BY d.start_line, d.id) AS n FROM p JOIN ch d ON d.parent_chunk_id = p.chunk_id) WHERE n <= 5)
   SELECT symbol_id, round(arg_min(score, (place, origin, n)), 6) AS score, arg_min(origin, (place, origin, n))::INTEGER AS origin FROM e GROUP BY symbol_id""")
 def hit_expansion(spark, sf):
     c = _chunk_table(spark, sf)
-    hits = c.where("id % 5 = 0").select(F.col("id").alias("chunk_id"), (F.col("id") * 37 % 101 / F.lit(101.0)).alias("score"))
+    hits = c.select(F.col("id").alias("chunk_id"), (F.col("id") * 37 % 101 / F.lit(101.0)).alias("score"))
     return retrieve.expand_hits(hits, c)
 
 
@@ -171,22 +171,22 @@ def layered_retrieval_fixed_depth(spark, sf):
     return found.select("id", "qualified_name", "distance", "reason")
 
 
-@register("pack_sections", """WITH c AS (SELECT c_custkey % 20 AS query_id, c_custkey AS id, 'q' || c_custkey AS qn, 'f' || c_custkey % 3 AS path, (c_custkey % 9)::BIGINT AS tokens, c_custkey < 20 AS is_root FROM customer WHERE c_custkey < 100)
-  SELECT query_id, 3 AS place, 'KeyNeighbors' AS section, 'Files to read' || chr(10) || array_to_string(list_sort(list_distinct(list(path) FILTER (NOT is_root))), chr(10)) AS text FROM c GROUP BY query_id
+@register("pack_sections", """WITH c AS (SELECT c_custkey // 20 AS query_id, c_custkey AS id, 'q' || c_custkey AS qn, 'f' || c_custkey % 3 AS path, (c_custkey % 9)::BIGINT AS tokens, c_custkey % 20 = 0 AS is_root FROM customer)
+  SELECT query_id, 3 AS place, 'KeyNeighbors' AS section, 'Files to read' || chr(10) || coalesce(array_to_string(list_sort(list_distinct(list(path) FILTER (NOT is_root))), chr(10)), '') AS text FROM c GROUP BY query_id
   UNION ALL SELECT query_id, 5, 'OmittedSummary', 'Omitted: 0' FROM c GROUP BY query_id""")
 def pack_sections(spark, sf):
     k = F.col("c_custkey")
-    c = ca.table(spark, sf, "customer").where("c_custkey < 100").select((k % 20).alias("query_id"), k.alias("id"), F.concat(F.lit("q"), k.cast("string")).alias("qualified_name"), F.concat(F.lit("f"), (k % 3).cast("string")).alias("path"), (k % 9).alias("tokens"), (k < 20).alias("is_root"), k.alias("place"), F.lit("s").alias("snippet"))
+    c = ca.table(spark, sf, "customer").select(F.floor(k / 20).alias("query_id"), k.alias("id"), F.concat(F.lit("q"), k.cast("string")).alias("qualified_name"), F.concat(F.lit("f"), (k % 3).cast("string")).alias("path"), (k % 9).alias("tokens"), (k % 20 == 0).alias("is_root"), k.alias("place"), F.lit("s").alias("snippet"))
     status = pack.pack(c, 1000)
     return pack.sections(c.join(status.select("query_id", "id", "status"), ["query_id", "id"]), "what", "neighborhood", 1000).where(F.col("section").isin("KeyNeighbors", "OmittedSummary"))
 
 
-@register("pack_as_json", """SELECT c_nationkey AS query_id, '{"query_id":' || c_nationkey || ',"nodes":' || '[' || string_agg('{"id":' || c_custkey || ',"name":"' || c_name || '"}', ',' ORDER BY c_custkey) || ']}' AS json FROM customer WHERE c_custkey % 10 = 0 GROUP BY c_nationkey""")
+@register("pack_as_json", """SELECT c_custkey // 20 AS query_id, '{"query_id":' || c_custkey // 20 || ',"nodes":' || '[' || string_agg('{"id":' || c_custkey || ',"name":"' || c_name || '"}', ',' ORDER BY c_custkey) || ']}' AS json FROM customer GROUP BY c_custkey // 20""")
 def pack_as_json(spark, sf):
     """A pack as one JSON document per query; a pack's nodes are bounded by its options."""
-    c = ca.table(spark, sf, "customer").where("c_custkey % 10 = 0")
+    c = ca.table(spark, sf, "customer")
     nodes = F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))).alias("nodes")
-    g = c.groupBy(F.col("c_nationkey").alias("query_id")).agg(nodes)
+    g = c.groupBy(F.floor(F.col("c_custkey") / 20).alias("query_id")).agg(nodes)
     return g.select("query_id", F.to_json(F.struct("query_id", "nodes")).alias("json"))
 
 
@@ -230,7 +230,7 @@ def python_symbols(spark, sf):
 
     d = ca.table(spark, sf, "documents")
     name = F.concat(F.lit("f_"), F.col("doc_id").cast("string"))
-    code = F.concat(F.lit("class C:\n    def "), name, F.lit("(self, x):\n        return g(x)\n\ndef g(a):\n    return len("), F.to_json(F.array(F.substring("text", 1, 40))), F.lit(")\n"))
+    code = F.concat(F.lit("class C:\n    def "), name, F.lit("(self, x):\n        return g(x)\n\ndef g(a):\n    return len("), F.to_json(F.array("text")), F.lit(")\n"))
     return parse_files(d.select(F.concat(name, F.lit(".py")).alias("rel_path"), code.alias("content"))).groupBy("row", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -285,11 +285,11 @@ def lsp_definition_match(spark, sf):
     return graph.match_definitions(_locations(spark, sf), s)
 
 
-@register("edge_upgrade", _with(""", e AS (SELECT *, from_symbol_id % 1000 AS occurrence_id FROM c_edges), x AS (SELECT s_suppkey AS occurrence_id, s_suppkey + 1000000000 AS symbol_id FROM supplier WHERE s_suppkey % 2 = 0)
+@register("edge_upgrade", _with(""", e AS (SELECT *, from_symbol_id % 1000 AS occurrence_id FROM c_edges), x AS (SELECT s_suppkey AS occurrence_id, s_suppkey + 1000000000 AS symbol_id FROM supplier)
   SELECT id, CASE WHEN symbol_id IS NOT NULL AND confidence <> 'LspExact' THEN symbol_id ELSE to_symbol_id END AS to_symbol_id, CASE WHEN symbol_id IS NOT NULL THEN 'LspExact' ELSE confidence END AS confidence FROM e LEFT JOIN x ON e.occurrence_id = x.occurrence_id"""))
 def edge_upgrade(spark, sf):
     e = ca.edges(spark, sf).withColumn("occurrence_id", F.col("from_symbol_id") % 1000)
-    m = ca.table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("occurrence_id"), (F.col("s_suppkey") + ca.SUPPLIER).alias("symbol_id"))
+    m = ca.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("occurrence_id"), (F.col("s_suppkey") + ca.SUPPLIER).alias("symbol_id"))
     return graph.upgrade_edges(e, m).select("id", "to_symbol_id", "confidence")
 
 
@@ -504,7 +504,7 @@ def hybrid_rank(spark, sf):
     return rank.rank(_candidates(spark, sf), _root_paths(spark), "asia nation", "hybrid").select("id", "score")
 
 
-_PACK = """c AS (SELECT c_custkey % 50 AS query_id, c_custkey AS id, 'f' || c_custkey % 11 AS path, (c_custkey * 37 % 400)::BIGINT AS tokens, c_custkey < 50 AS is_root, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_custkey >= 50, c_custkey) AS place FROM customer
+_PACK = """c AS (SELECT c_custkey // 60 AS query_id, c_custkey AS id, 'f' || c_custkey % 11 AS path, (c_custkey * 37 % 400)::BIGINT AS tokens, c_custkey % 60 = 0 AS is_root, row_number() OVER (PARTITION BY c_custkey // 60 ORDER BY c_custkey) AS place FROM customer
 ), w(query_id, place, id, status, remaining, nodes, files) AS (
   SELECT query_id, place, id, 'included', greatest(1500 - tokens, 0), 1, [path] FROM c WHERE place = 1
   UNION ALL SELECT query_id, place, id, status, CASE WHEN status = 'included' THEN greatest(remaining - tokens, 0) ELSE remaining END, nodes + (status = 'included')::INT, CASE WHEN status = 'included' AND NOT list_contains(files, path) THEN list_append(files, path) ELSE files END FROM (
@@ -516,24 +516,24 @@ _PACK = """c AS (SELECT c_custkey % 50 AS query_id, c_custkey AS id, 'f' || c_cu
 def budget_pack(spark, sf):
     c = ca.table(spark, sf, "customer")
     k = F.col("c_custkey")
-    own = c.select((k % 50).alias("query_id"), k.alias("id"), F.concat(F.lit("f"), (k % 11).cast("string")).alias("path"), (k * 37 % 400).alias("tokens"), (k < 50).alias("is_root"), k.alias("place"))
+    own = c.select(F.floor(k / 60).alias("query_id"), k.alias("id"), F.concat(F.lit("f"), (k % 11).cast("string")).alias("path"), (k * 37 % 400).alias("tokens"), (k % 60 == 0).alias("is_root"), k.alias("place"))
     return pack.pack(own, 1500, 12, 8)
 
 
 # ---- maintenance
 
-_DISK = "SELECT 'p' || o_orderkey AS path, o_custkey AS mtime_ms, floor(o_totalprice + CASE WHEN o_orderkey % 10 = 1 THEN 1 ELSE 0 END)::BIGINT AS size_bytes FROM orders WHERE o_orderkey % 7 <> 0"
-_INDEX = "SELECT 'p' || o_orderkey AS path, o_custkey AS mtime_ms, floor(o_totalprice)::BIGINT AS size_bytes, CASE WHEN o_orderkey % 13 = 0 THEN 'Failed' ELSE 'Success' END AS parse_status FROM orders WHERE o_orderkey % 11 <> 0"
+_DISK = "SELECT 'p' || o_orderkey AS path, o_custkey AS mtime_ms, floor(o_totalprice + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)::BIGINT AS size_bytes FROM orders WHERE o_orderstatus <> 'P'"
+_INDEX = "SELECT 'p' || o_orderkey AS path, o_custkey AS mtime_ms, floor(o_totalprice)::BIGINT AS size_bytes, CASE WHEN o_orderpriority = '5-LOW' THEN 'Failed' ELSE 'Success' END AS parse_status FROM orders WHERE o_orderstatus <> 'F'"
 _DIFF = f"disk AS ({_DISK}), idx AS ({_INDEX}), df AS (SELECT coalesce(d.path, i.path) AS path, CASE WHEN i.path IS NULL THEN 'added' WHEN d.path IS NULL THEN 'deleted' WHEN d.mtime_ms <> i.mtime_ms OR d.size_bytes <> i.size_bytes OR parse_status = 'Failed' THEN 'modified' ELSE 'unchanged' END AS status FROM disk d FULL JOIN idx i ON d.path = i.path)"
 
 
 def _snapshots(spark, sf):
     o = ca.table(spark, sf, "orders")
     k = F.col("o_orderkey")
-    base = o.select(k, F.concat(F.lit("p"), k.cast("string")).alias("path"), F.col("o_custkey").alias("mtime_ms"), F.col("o_totalprice").alias("price"), F.lit(None).cast("string").alias("content_hash"))
-    disk = base.where(k % 7 != 0).withColumn("size_bytes", F.floor(F.col("price") + F.when(k % 10 == 1, 1).otherwise(0)).cast("long"))
-    index = base.where(k % 11 != 0).withColumn("size_bytes", F.floor("price").cast("long")).withColumn("parse_status", F.when(k % 13 == 0, "Failed").otherwise("Success"))
-    return disk.drop("price", "o_orderkey"), index.drop("price", "o_orderkey")
+    base = o.select("o_orderstatus", "o_orderpriority", F.concat(F.lit("p"), k.cast("string")).alias("path"), F.col("o_custkey").alias("mtime_ms"), F.col("o_totalprice").alias("price"), F.lit(None).cast("string").alias("content_hash"))
+    disk = base.where("o_orderstatus <> 'P'").withColumn("size_bytes", F.floor(F.col("price") + F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)).cast("long"))
+    index = base.where("o_orderstatus <> 'F'").withColumn("size_bytes", F.floor("price").cast("long")).withColumn("parse_status", F.when(F.col("o_orderpriority") == "5-LOW", "Failed").otherwise("Success"))
+    return tuple(x.drop("price", "o_orderstatus", "o_orderpriority") for x in (disk, index))
 
 
 @register("index_diff", f"WITH {_DIFF} SELECT path, status FROM df")
@@ -547,11 +547,11 @@ def index_state(spark, sf):
     return maintain.index_state(maintain.diff(*_snapshots(spark, sf)), maintain.rebuild_reason(stored, {"schema_version": "1"}))
 
 
-_GONE = ", gone AS (SELECT n_nationkey::BIGINT AS file_id FROM nation WHERE n_nationkey % 5 = 0)"
+_GONE = ", gone AS (SELECT n_nationkey::BIGINT AS file_id FROM nation WHERE n_regionkey = 0)"
 
 
 def _gone(spark, sf):
-    return ca.table(spark, sf, "nation").where("n_nationkey % 5 = 0").select(F.col("n_nationkey").cast("long").alias("file_id"))
+    return ca.table(spark, sf, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("long").alias("file_id"))
 
 
 @register("cascade_delete", _with(_GONE + """, dead AS (SELECT id FROM c_symbols WHERE file_id IN (SELECT file_id FROM gone)) SELECT id, CASE WHEN to_symbol_id NOT IN (SELECT id FROM dead) THEN to_symbol_id END AS to_symbol_id,
@@ -569,15 +569,15 @@ def affected_occurrences(spark, sf):
     return maintain.affected(o, e, ca.symbols(spark, sf), _gone(spark, sf))
 
 
-@register("invariants", _with(""", s AS (SELECT * FROM c_symbols WHERE id % 10 <> 3) SELECT 'symbols_without_file' AS name, count(*) FILTER (file_id NOT IN (SELECT id FROM c_files)) AS violations FROM s UNION ALL SELECT 'occurrences_without_file', count(*) FILTER (file_id NOT IN (SELECT id FROM c_files)) FROM c_occurrences
+@register("invariants", _with(""", s AS (SELECT * FROM c_symbols WHERE kind <> 'Test') SELECT 'symbols_without_file' AS name, count(*) FILTER (file_id NOT IN (SELECT id FROM c_files)) AS violations FROM s UNION ALL SELECT 'occurrences_without_file', count(*) FILTER (file_id NOT IN (SELECT id FROM c_files)) FROM c_occurrences
   UNION ALL SELECT 'edges_from_missing_symbol', count(*) FILTER (from_symbol_id NOT IN (SELECT id FROM s)) FROM c_edges UNION ALL SELECT 'edges_to_missing_symbol', count(*) FILTER (to_symbol_id NOT IN (SELECT id FROM s)) FROM c_edges"""))
 def invariants(spark, sf):
-    return maintain.invariants(ca.files(spark, sf), ca.symbols(spark, sf).where("id % 10 <> 3"), ca.occurrences(spark, sf), ca.edges(spark, sf))
+    return maintain.invariants(ca.files(spark, sf), ca.symbols(spark, sf).where("kind <> 'Test'"), ca.occurrences(spark, sf), ca.edges(spark, sf))
 
 
 @register("incremental_equals_full", "SELECT 'only_full' AS side, 0::BIGINT AS n UNION ALL SELECT 'only_incremental', 0::BIGINT")
 def incremental_equals_full(spark, sf):
-    """Replacing a fifth of the files by themselves gives the edges of a full build."""
+    """Replacing one region's files by themselves gives the edges of a full build."""
     s, o, f = ca.symbols(spark, sf), ca.occurrences(spark, sf), ca.files(spark, sf)
     gone = _gone(spark, sf)
     full = graph.resolve_names(o, s)
@@ -587,11 +587,11 @@ def incremental_equals_full(spark, sf):
     return count(full.exceptAll(merged), "only_full").unionAll(count(merged.exceptAll(full), "only_incremental"))
 
 
-@register("vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label + 100 FROM embeddings WHERE vec_id % 50 = 0 AND vec_id % 3 = 0")
+@register("vector_upsert", "SELECT vec_id, CASE WHEN label = 3 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label + 100 FROM embeddings WHERE label = 3")
 def vector_upsert(spark, sf):
     e = ca.table(spark, sf, "embeddings").select("vec_id", "label")
-    some = e.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100)
-    return search.upsert(e, some.unionAll(some.where("vec_id % 50 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000)), "vec_id")
+    some = e.where("label = 3").withColumn("label", F.col("label") + 100)
+    return search.upsert(e, some.unionAll(some.withColumn("vec_id", F.col("vec_id") + 1_000_000)), "vec_id")
 
 
 # ---- coverage, exports
