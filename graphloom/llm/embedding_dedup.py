@@ -50,8 +50,8 @@ def pick_pivots(vectors: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
     return {k: np.unique(np.stack(v), axis=0) for k, v in by.items()}
 
 
-def _describe(pivots: dict[int, np.ndarray], nearest: int):
-    """Vectors with their bytes in doubles and their pivot permutation's prefix; both null if they take no part."""
+def _describe(pivots: dict[int, np.ndarray], nearest: int, kind: str):
+    """Vectors with their bytes, in their own precision, and their pivot permutation's prefix; both null if they take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,7 +64,7 @@ def _describe(pivots: dict[int, np.ndarray], nearest: int):
                     prefix.append(None)
                     continue
                 x = x.astype(np.float64) + 0.0  # -0.0 is 0.0
-                vec.append(x.tobytes())
+                vec.append(x.astype(kind).tobytes())
                 own = pivots.get(len(x))
                 prefix.append([-1] if own is None else np.argsort(-(own @ x), kind="stable")[:nearest].tolist())
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), label, pa.array(vec, pa.binary()), pa.array(prefix, pa.list_(pa.int32()))], ["vec_id", "label", "vec", "prefix"])
@@ -91,7 +91,7 @@ def _spanning(link: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _judge(cutoff: float, shared: int):
+def _judge(cutoff: float, shared: int, kind: str):
     """Units, sorted, to rows (a, b, n): a link if b is not null, else n vectors linked to a."""
 
     def unit(pivot: int, same: bool, key: np.ndarray, times: np.ndarray, side: np.ndarray, vec: list[bytes], prefix: list[list[int]]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def _judge(cutoff: float, shared: int):
         size = {len(v) for v in vec}
         for n in size:  # vectors of other lengths don't link
             at = np.array([i for i, v in enumerate(vec) if len(v) == n])
-            x = np.frombuffer(b"".join(vec[i] for i in at), np.float64).reshape(len(at), -1)
+            x = np.frombuffer(b"".join(vec[i] for i in at), kind).astype(np.float64).reshape(len(at), -1)
             top = max(max(prefix[i]) for i in at) + 2
             has = np.zeros((len(at), top), np.float32)
             for r, i in enumerate(at):
@@ -161,17 +161,19 @@ def near_duplicates(vectors: DataFrame, cutoff: float = CUTOFF, pivots: int = PI
     vectors = vectors.select("vec_id", F.col("embedding"), "label")
     kinds = dict(vectors.dtypes)
     chosen = pick_pivots(vectors, pivots)
-    described = vectors.mapInArrow(_describe(chosen, nearest), f"vec_id {kinds['vec_id']}, label {kinds['label']}, vec binary, prefix array<int>")
+    kind = "f4" if kinds["embedding"] == "array<float>" else "f8"
+    described = vectors.mapInArrow(_describe(chosen, nearest, kind), f"vec_id {kinds['vec_id']}, label {kinds['label']}, vec binary, prefix array<int>")
     described = cut(described.withColumn("class", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec"))), "vectors")
     rows = described.select("vec_id", "class")
     classes = cut(described.where("vec is not null").groupBy("class", "label").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("times"), F.first("vec").alias("vec"), F.first("prefix").alias("prefix")), "vector-classes")
     listed = classes.select("class", "label", "times", "vec", "prefix", F.explode("prefix").alias("pivot"))
-    blocks = listed.groupBy("label", "pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    # written first, so that Spark knows its size when it chooses the join: vectors then needn't move for it
+    blocks = cut(listed.groupBy("label", "pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "vector-lists")
     spread = listed.join(blocks, ["label", "pivot"]).withColumn("own", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"))
     units = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("label", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class", "times", "vec", "prefix")
     keys = ["label", "pivot", "i", "j"]
-    judged = cut(units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_judge(cutoff, shared), "a long, b long, n long"), "vector-links")
+    judged = cut(units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_judge(cutoff, shared, kind), "a long, b long, n long"), "vector-links")
     counts = judged.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
     linked = components(judged.where("b is not null").select("a", "b"), "vector-links")
     named = linked.join(classes.select(F.col("class").alias("node"), "first"), "node")
