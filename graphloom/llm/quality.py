@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from graphloom.llm.common import fresh, read, ship
+from graphloom.llm.common import fresh, read, ship, trim
 
 BITS = 18
 MAX_ROWS = 12_000
@@ -112,7 +112,8 @@ class Model:
 
 
 def fit(features: list[np.ndarray], grades: np.ndarray, epochs: int = 40, rate: float = 0.15, l1: float = 3e-4, batch: int = 128) -> Model:
-    """Maximum likelihood of the cumulative-link model; deterministic."""
+    """Maximum likelihood of the cumulative-link model; deterministic. With few ratings the L1 step weighs more."""
+    l1 = max(l1, 0.9 / max(len(features), 1))
     # a feature that few rated texts have says more about them than about grades
     common = np.bincount(np.concatenate(features), minlength=1 << BITS) >= min(12, max(2, len(features) // 500))
     features = [x[common[x]] for x in features]
@@ -196,6 +197,8 @@ def _scored(docs: DataFrame, model: Model | None, text: str, keep_columns: list[
             score = np.array([m.weights[own.of(texts[i].as_py())].sum(dtype=np.float64) for i in range(b.num_rows)])
             tails = m.tails(score) if b.num_rows else np.zeros((0, GRADES - 1))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep_columns], pa.array(tails.sum(axis=1)), pa.array(tails[:, SELECT - 1])], [*keep_columns, expected, tail])
+        del own
+        trim()
 
     schema = T.StructType([*[docs.schema[c] for c in keep_columns], T.StructField(expected, T.DoubleType()), T.StructField(tail, T.DoubleType())])
     return rest.mapInArrow(run, schema), expected, tail
