@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from graphloom.durable import cut
 from graphloom.functions.text import count_lines, file_name, lines_of
 from graphloom.operators import chunks as ch, export, filters, graph, maintain, models, stats
 from graphloom.plans import retrieve
@@ -28,7 +29,8 @@ class Engine:
         """Scan, parse, resolve, nest, measure and chunk the source files under root."""
         scanned = filters.indexable(scan_files(spark, root, max_bytes))
         files = scanned.select(F.xxhash64("rel_path").alias("id"), "rel_path", F.when(F.endswith("rel_path", F.lit(".rs")), "rust").otherwise("python").alias("language"), F.col("bytes").alias("size_bytes"), "mtime_ms", "content_hash", "content")
-        symbols, occurrences = parse.tables(parse.parse_files(scanned), files)
+        parsed = cut(parse.parse_files(scanned), "parsed")  # every file is parsed once for all tables
+        symbols, occurrences = parse.tables(parsed, files)
         if not include_tests:
             tests = symbols.where("kind = 'Test'").select(F.col("id").alias("enclosing_symbol_id"))
             symbols, occurrences = symbols.where("kind <> 'Test'"), occurrences.join(tests, "enclosing_symbol_id", "left_anti")

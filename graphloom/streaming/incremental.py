@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.durable import cut
 from graphloom.operators.maintain import merge
 from graphloom.sources.corpus import stream_files
 from graphloom.sources.parse import parse_files, tables
@@ -34,7 +35,7 @@ def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def apply_batch(spark: SparkSession, scanned: DataFrame, root: str, version: int) -> None:
     """Write version `version` of the tables; running it again gives the same. A marker makes a version visible whole."""
     files = file_table(scanned)
-    symbols, occurrences = tables(parse_files(scanned), files)
+    symbols, occurrences = tables(cut(parse_files(scanned), "parsed"), files)
     parsed = {"files": files, "symbols": symbols, "occurrences": occurrences}
     before = _version(spark, root)
     if before < 0:
