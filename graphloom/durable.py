@@ -40,6 +40,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of fewer parts than there are cores to all of them, before work that costs much per row.
+
+    Inputs of many parts, and frames that already were dealt out, stay as they are: at size this
+    is no shuffle at all."""
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if plan.toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the files behind a frame that cut() returned and that nothing will read again."""
     parents = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from graphloom.durable import cut
+from graphloom.durable import cut, spread
 
 K1, B = 1.2, 0.75
 LONGEST_TOKEN = 40
@@ -36,7 +36,7 @@ def bm25(docs: DataFrame, doc_id: str, fields: list[str], query: str, limit: int
     if not terms:
         return docs.select(doc_id, F.lit(0.0).alias("score")).limit(0)
     wanted = list(dict.fromkeys(terms))
-    one = docs.select(F.col(doc_id), *[analyse(F.coalesce(F.col(f), F.lit(""))).alias(f"t_{f}") for f in fields])
+    one = spread(docs.select(doc_id, *fields)).select(F.col(doc_id), *[analyse(F.coalesce(F.col(f), F.lit(""))).alias(f"t_{f}") for f in fields])
     # tokens are walked once for all terms; what is left of them is short
     met = one.select(doc_id, *[F.size(f"t_{f}").alias(f"len_{f}") for f in fields], *[F.filter(f"t_{f}", lambda x: x.isin(wanted)).alias(f"m_{f}") for f in fields])
     tf = {(f, i): _times(F.col(f"m_{f}"), w) for f in fields for i, w in enumerate(wanted)}
