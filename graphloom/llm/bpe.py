@@ -39,7 +39,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from graphloom.llm.common import fresh, read, ship
+from graphloom.llm.common import fresh, read, ship, spread
 
 MAX_STATES = 400_000
 MEMO = 120_000
@@ -350,7 +350,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], ids], [*rest, "token_ids"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], text).mapInArrow(run, schema)
+    return spread(docs.select(*[F.col(f"`{c}`") for c in rest], text)).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids") -> DataFrame:
@@ -397,7 +397,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows))))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(own_text)).mapInArrow(run, schema)
+    return spread(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(own_text))).mapInArrow(run, schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

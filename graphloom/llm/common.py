@@ -9,9 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphloom.durable import cut, drop_cut, shared_dir
+from graphloom.durable import cut, drop_cut, shared_dir, spread
 
-__all__ = ["ascii_lower", "components", "count_words", "cut", "drop_cut", "fresh", "read", "shared_dir", "ship", "text_bytes", "trim"]
+__all__ = ["ascii_lower", "components", "count_words", "cut", "drop_cut", "fresh", "read", "shared_dir", "ship", "spread", "text_bytes", "trim"]
 
 ROOT = Path(__file__).resolve().parents[2]
 #: Words are runs of anything but space and the control characters tab to carriage return.

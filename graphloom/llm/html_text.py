@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.common import read, ship
+from graphloom.llm.common import read, ship, spread
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -283,7 +283,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [extract(html[i].as_py()) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return spread(pages.select("page_id", "url", "html")).mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from graphloom.llm.common import fresh, read, ship, trim
+from graphloom.llm.common import fresh, read, ship, spread, trim
 
 BITS = 18
 MAX_ROWS = 12_000
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model | Non
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("grade"), pa.array(places, pa.binary())], ["id", "grade", "places"])
 
     sample = ratings(labels).withColumnRenamed("doc_id", "_label")  # at most MAX_ROWS narrow rows
-    own = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text"))
+    own = spread(docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text")))
     rated = own.join(F.broadcast(sample), F.col("_id") == F.col("_label")).select("_id", "_text", "grade")
     got = rated.mapInArrow(run, T.StructType([T.StructField("id", own.schema["_id"].dataType), T.StructField("grade", T.IntegerType()), T.StructField("places", T.BinaryType())])).collect()
     if not got:
@@ -201,7 +201,7 @@ def _scored(docs: DataFrame, model: Model | None, text: str, keep_columns: list[
         trim()
 
     schema = T.StructType([*[docs.schema[c] for c in keep_columns], T.StructField(expected, T.DoubleType()), T.StructField(tail, T.DoubleType())])
-    return rest.mapInArrow(run, schema), expected, tail
+    return spread(rest).mapInArrow(run, schema), expected, tail
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:

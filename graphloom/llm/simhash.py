@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import components, cut, fresh, read, ship
+from graphloom.llm.common import components, cut, fresh, read, ship, spread
 
 SEED = 42
 DISTANCE = 3
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             fps = np.fromiter((fingerprint(texts[i].as_py() or b"") for i in range(len(texts))), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long")
+    return spread(docs.select("doc_id", text)).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def spanning_links(v: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:

@@ -36,7 +36,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from graphloom.llm.common import fresh, read, ship, text_bytes, trim
+from graphloom.llm.common import fresh, read, ship, spread, text_bytes, trim
 
 WIDTH = 13
 GROUP = 500_000
@@ -268,7 +268,7 @@ def intervals(docs: DataFrame, text: str = "text", width: int = WIDTH, keyed: bo
     ship(docs.sparkSession)
     bits = min(17, (max(FEWEST_BUCKETS, text_bytes(docs, text) // BUCKET_BYTES) - 1).bit_length())
     n = 1 << bits
-    windows = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_windows(width, bits, keyed), PACKED)
+    windows = spread(docs.select(F.col("doc_id").cast("long"), text)).mapInArrow(_windows(width, bits, keyed), PACKED)
     marks = windows.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_mark(bits, keyed), PACKED)
     return marks.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_intervals(width), "doc_id long, text_key long, spans array<int>")
 
