@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_BYTES = 524_288
+#: What marks the root of a workspace.
+ROOT_MARKS = (".git", "Cargo.toml", "pyproject.toml", "requirements.txt", "setup.py")
+
+
+def workspace_root(path: str) -> str | None:
+    """The nearest folder at or above a local path that has a mark of a root."""
+    from pathlib import Path
+
+    here = Path(path).resolve()
+    return next((str(p) for p in (here, *here.parents) if any((p / m).exists() for m in ROOT_MARKS)), None)
 
 
 def scan_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, glob: str | None = None) -> DataFrame:
