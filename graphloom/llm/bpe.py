@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from graphloom.llm.common import fresh, read, ship, spread
 
 MAX_STATES = 400_000
-MEMO = 120_000
+MEMO = 160_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -90,7 +90,8 @@ class Transducer:
         self.edges: dict[int, int] = {}
         self.outputs: list[tuple[int, ...]] = [()]
         self.output_number: dict[tuple[int, ...], int] = {(): 0}
-        start = _pack([(0, -1, ())])
+        #: a state: node, last token and number of pending tokens of each hypothesis, then those tokens
+        start = array("i", (0, -1, 0)).tobytes()
         self.states: list[bytes] = [start]
         self.final = array("I", [0])
         self.number: dict[bytes, int] = {start: 0}
@@ -170,29 +171,37 @@ class Transducer:
     def _grow(self, key: int) -> int:
         """Live hypotheses stay in the order of where their unfinished token starts, the root's last."""
         byte, child, token_at, live, root = key & 255, self.child.get, self.token_at.get, [], None
-        for node, last, out in _unpack(self.states[key >> 8]):
-            node = child(node << 8 | byte)
+        flat = memoryview(self.states[key >> 8]).cast("i").tolist()
+        i, end = 0, len(flat)
+        while i < end:
+            j = i + 3 + flat[i + 2]
+            node = child(flat[i] << 8 | byte)
             if node is not None:
+                last, out = flat[i + 1], flat[i + 3 : j]
                 live.append((node, last, out))
                 if root is None:
                     token = token_at(node)
                     if token is not None and self.may_follow(last, token):
-                        root = (0, token, (*out, token))
+                        root = (0, token, [*out, token])
+            i = j
         live.append(root)
         emitted = live[0][2]
+        n = len(emitted)
         for _, _, out in live:
-            while emitted and out[: len(emitted)] != emitted:
-                emitted = emitted[:-1]
-        if emitted:
-            n = len(emitted)
-            live = [(node, last, out[n:]) for node, last, out in live]
-        state = _pack(live)
+            while n and out[:n] != emitted[:n]:
+                n -= 1
+            if not n:
+                break
+        packed = array("i")
+        for node, last, out in live:
+            packed.extend((node, last, len(out) - n, *out[n:]))
+        state = packed.tobytes()
         to = self.number.get(state)
         if to is None:
             to = self.number[state] = len(self.states)
             self.states.append(state)
-            self.final.append(self._output(live[-1][2]))
-        edge = self.edges[key] = to << 24 | self._output(emitted)
+            self.final.append(self._output(tuple(root[2][n:])))
+        edge = self.edges[key] = to << 24 | (self._output(tuple(emitted[:n])) if n else 0)
         return edge
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -212,22 +221,6 @@ class Transducer:
         return (*out, *outputs[self.final[state]])
 
 
-def _pack(live: list[tuple[int, int, tuple[int, ...]]]) -> bytes:
-    flat = array("i")
-    for node, last, out in live:
-        flat.extend((node, last, len(out), *out))
-    return flat.tobytes()
-
-
-def _unpack(state: bytes) -> Iterator[tuple[int, int, tuple[int, ...]]]:
-    flat = memoryview(state).cast("i").tolist()
-    i = 0
-    while i < len(flat):
-        j = i + 3 + flat[i + 2]
-        yield flat[i], flat[i + 1], tuple(flat[i + 3 : j])
-        i = j
-
-
 class Utf8Stream:
     """Incremental UTF-8: feed bytes, get text up to the last whole character.
 
