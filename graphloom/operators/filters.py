@@ -22,7 +22,7 @@ CODE_EXTENSIONS = (
 DOCS_NAMES = "readme license changelog contributing readme.md readme.txt license.md license.txt contributing.md changelog.md architecture.md security.md".split()
 DOCS_EXTENSIONS = "md txt rst adoc asciidoc org tex pdf epub docx doc odt html htm rtf xml json csv tsv".split()
 BINARY_EXTENSIONS = "png jpg jpeg gif bmp ico tiff webp zip tar gz bz2 xz rar 7z exe dll so dylib bin elf msi deb rpm class pyc pyo o obj pdb wasm mp3 wav mp4 avi mkv mov flac".split()
-SKIPPED_DIRS = "target .git .codegraph .ctx-codegraph .venv venv .env node_modules __pycache__ build dist".split()
+SKIPPED_DIRS = "target .git .graphloom .venv venv .env node_modules __pycache__ build dist".split()
 
 
 def rule_reason(name: Column, is_dir: Column) -> Column:

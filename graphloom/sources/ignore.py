@@ -44,13 +44,13 @@ class Rule:
 
 
 def parse(text: str, base: str = "") -> list[Rule]:
-    """Rules in order. Blocks are parted by blank lines; a block that starts with #[ctx] holds bypass rules."""
+    """Rules in order. Blocks are parted by blank lines; after a line like #[name], the rest of its block holds bypass rules."""
     rules, bypass = [], False
     for line in text.splitlines():
         line = line.rstrip()
         if not line:
             bypass = False
-        elif line.replace(" ", "") == "#[ctx]":
+        elif re.fullmatch(r"#\s*\[\s*\w+\s*\]", line):
             bypass = True
         elif not line.startswith("#"):
             negated = line.startswith("!")

@@ -180,7 +180,7 @@ def test_coverage(spark):
 
 
 def test_ignore(spark):
-    rules = ignore.parse("*.log\n/build/\n!keep.log\n\n#[ctx]\nbuild/important.txt\n") + ignore.parse("secret*", "sub")
+    rules = ignore.parse("*.log\n/build/\n!keep.log\n\n#[keep]\nbuild/important.txt\n") + ignore.parse("secret*", "sub")
     df = spark.createDataFrame([(p, False) for p in ("a.log", "x/keep.log", "build/o.txt", "sub/secret1", "secret1", "xbuild/a", "build/important.txt")], "p string, d boolean")
     got = {r.p: r.x for r in df.select("p", ignore.ignored(F.col("p"), F.col("d"), rules).alias("x")).collect()}
     assert got == {"a.log": True, "x/keep.log": False, "build/o.txt": True, "sub/secret1": True, "secret1": False, "xbuild/a": False, "build/important.txt": False}
