@@ -36,7 +36,7 @@ from graphloom.llm.vectors import finite, rows_of
 SCALE = 64
 K = 20
 EVERY = 20
-LEAF = 128
+LEAF = 256
 PACK = 512
 MIN_SHARD, MAX_SHARD = 4096, 262_144
 SEEDS = 1024
@@ -61,11 +61,11 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 class KdTree:
     def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
-        self.ids, self.x = ids, x
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
         self.below: list[tuple[int, int] | None] = []
         self.rows: list[np.ndarray | None] = []
+        self.span: list[tuple[int, int]] = []
         todo = [np.arange(len(ids))] if len(ids) else []
         made = len(todo)
         for own in todo:  # grows while it is walked: level by level
@@ -83,6 +83,17 @@ class KdTree:
             self.rows.append(None)
             made += 2
             todo += [own[order[:half]], own[order[half:]]]
+        # leaves become slices, read without copies
+        leaves = [r for r in self.rows if r is not None]
+        order = np.concatenate(leaves) if leaves else np.zeros(0, np.int64)
+        self.ids, self.x = ids[order], np.ascontiguousarray(x[order])
+        at = 0
+        for r in self.rows:
+            n = 0 if r is None else len(r)
+            self.span.append((at, at + n))
+            at += n
+        self.rows = []
+        self.largest = float(np.abs(x).max()) if x.size else 0.0
         self.low_m = np.array(self.low).reshape(len(self.low), x.shape[1])
         self.high_m = np.array(self.high).reshape(len(self.high), x.shape[1])
 
@@ -98,7 +109,8 @@ class KdTree:
             return
         bounds = self.bounds(queries)
         for i in range(len(query_ids)):
-            least, bound, q = int(kth[i]), bounds[i], queries[i : i + 1]
+            least, bound, q = int(kth[i]), bounds[i], queries[i]
+            small = not q.size or self.largest * float(np.abs(q).max()) * len(q) < EXACT
             ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
             heap = [(-bound[0], 0)]
             while heap:
@@ -110,11 +122,13 @@ class KdTree:
                         if bound[child] >= least:
                             heapq.heappush(heap, (-bound[child], child))
                     continue
-                rows = self.rows[node]
-                s = products(self.x[rows], q)[:, 0]
-                good = (s >= least) & (self.ids[rows] != query_ids[i])
-                if good.any():
-                    ids, scores = np.concatenate([ids, self.ids[rows][good]]), np.concatenate([scores, s[good]])
+                start, end = self.span[node]
+                s = self.x[start:end] @ q if small else products(self.x[start:end], q[None, :])[:, 0]
+                good = np.nonzero(s >= least)[0]
+                if len(good):
+                    found = self.ids[start:end][good]
+                    other = found != query_ids[i]
+                    ids, scores = np.concatenate([ids, found[other]]), np.concatenate([scores, s[good][other].astype(np.int64)])
                     if len(ids) >= k:
                         top = np.lexsort((ids, -scores))[:k]
                         ids, scores = ids[top], scores[top]
