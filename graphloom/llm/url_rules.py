@@ -24,6 +24,7 @@ different verdicts: block wins. Extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 import struct
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -34,7 +35,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import ascii_lower, ship
+from graphloom.llm.common import ascii_lower, read, ship
 
 MAX_INDEX_BYTES = 512 << 20
 SEED = 0
@@ -64,7 +65,7 @@ def _digests(keys: list[bytes]) -> np.ndarray:
 
 
 def _array(pairs: list[tuple[bytes, bytes]]) -> bytes:
-    """Sorted digests, offsets of the payloads, then payloads; a payload is key, NUL-free length prefix, value."""
+    """Sorted digests, offsets of the payloads, then payloads: length of the key, key, value."""
     d = _digests([k for k, _ in pairs])
     order = np.argsort(d, kind="stable")
     blobs = [struct.pack("<I", len(pairs[i][0])) + pairs[i][0] + pairs[i][1] for i in order]
@@ -81,6 +82,7 @@ def compile_rules(rules: Iterable[tuple[str, str, str]]) -> bytes:
         lengths.setdefault(host, set()).add(len(path))
     hosts = _array([(h.encode(), np.array(sorted(n), np.uint32).tobytes()) for h, n in sorted(lengths.items())])
     full = _array([(f"{len(h.encode())}:{k}".encode(), v.encode()) for k, (v, h, _) in sorted(merged.items())])
+    hosts += b"\0" * (-len(hosts) % 8)  # so that the second array is aligned where it is mapped
     return struct.pack("<Q", len(hosts)) + hosts + full
 
 
@@ -117,7 +119,7 @@ class DigestArray:
 class RuleIndex:
     def __init__(self, data: np.ndarray):
         n = int(data[:8].view(np.uint64)[0])
-        self.hosts, self.rules = DigestArray(data[8 : 8 + n]), DigestArray(np.ascontiguousarray(data[8 + n :]) if (8 + n) % 8 else data[8 + n :])
+        self.hosts, self.rules = DigestArray(data[8 : 8 + n]), DigestArray(data[8 + n :])
 
     def judge(self, hosts: list[str], paths: list[str]) -> tuple[list[str | None], list[str | None]]:
         owner: list[int] = []
@@ -189,8 +191,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
 
 def ship_file(spark: SparkSession, data: bytes) -> str:
     """Hand a file to all executors, those that start later too; returns the name to ask SparkFiles for."""
-    import tempfile
-
     name = f"rules-{uuid.uuid4().hex}.idx"
     at = Path(tempfile.mkdtemp(prefix="graphloom-")) / name
     at.write_bytes(data)
@@ -217,8 +217,6 @@ def judge_by_join(parts: DataFrame, rules: DataFrame, default: str = "allow") ->
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.llm.common import read
-
     return judge(read(spark, sf_dir, "pages"), RULES)
 
 
