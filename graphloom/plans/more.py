@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from graphloom.functions import text as tx
-from graphloom.operators import chunks, models, pack, rank, stats
+from graphloom.operators import chunks, graph, models, pack, rank, stats
 from graphloom.plans import retrieve
-from graphloom.plans.registry import _LS, _WINDOW, _document_lines, _with, register
+from graphloom.plans.registry import _CANDIDATES, _LS, _WINDOW, _candidates, _document_lines, _root_paths, _with, register
 from graphloom.sources import carriers as ca, coverage, ignore
 
 
@@ -241,3 +241,35 @@ def reached_by_direction(spark, sf):
     return out.union(e.where(F.col("to_symbol_id") == ca.PART + 5).select("from_symbol_id")).distinct()
 
 
+
+
+@register("usage_windows", "SELECT date_trunc('hour', ts) AS start, event_type AS tool, count(*) AS calls, count(*) FILTER (value > 50) AS errors FROM events GROUP BY ALL")
+def usage_windows(spark, sf):
+    """Usage by event time and tool; the same plan serves a stream."""
+    from graphloom.streaming.incremental import usage_windows as windows
+
+    e = ca.table(spark, sf, "events").select("ts", F.col("event_type").alias("tool"), (F.col("value") > 50).alias("failed"))
+    return windows(e).select(F.col("window.start").alias("start"), "tool", "calls", "errors")
+
+
+_TIERS = """, f AS (SELECT CASE WHEN qualified_name = 'red ring' THEN 0 WHEN name = 'red ring' THEN 1 WHEN contains(lower(qualified_name), 'red ring') THEN 2 WHEN contains(lower(name), 'red ring') THEN 3 END AS tier, id, qualified_name FROM c_symbols)"""
+
+
+@register("search_symbols_limited", _with(_TIERS + " SELECT tier, id, qualified_name FROM f WHERE tier IS NOT NULL ORDER BY tier, id LIMIT 10"))
+def search_symbols_limited(spark, sf):
+    """The first ten by tier: a top-k report."""
+    found = graph.find_symbols(ca.symbols(spark, sf), ca.files(spark, sf), "red ring")
+    return found.orderBy("tier", "id").limit(10).select("tier", "id", "qualified_name")
+
+
+@register("recap_top_three", _with(_CANDIDATES + " SELECT ['Start with', 'Then read', 'Then inspect'][row_number() OVER (ORDER BY round(graph_score, 6) DESC, octet_length(encode(qualified_name)), id)] AS label, id FROM g ORDER BY round(graph_score, 6) DESC, octet_length(encode(qualified_name)), id LIMIT 3"))
+def recap_top_three(spark, sf):
+    best = rank.rank(_candidates(spark, sf), _root_paths(spark), "x", "graph").orderBy(*rank.order()).limit(3)
+    place = F.row_number().over(W.orderBy(*rank.order()))
+    labels = F.array(*[F.lit(x) for x in ("Start with", "Then read", "Then inspect")])
+    return best.select(F.element_at(labels, place).alias("label"), "id")
+
+
+@register("embeddable_chunks", _with(" SELECT kind, count(*) * 2 AS n FROM (SELECT 'SymbolBody' AS kind FROM documents UNION ALL SELECT 'SymbolDecl' FROM documents) GROUP BY kind UNION ALL SELECT 'ParentSummary', count(*) FROM documents"))
+def embeddable_chunks(spark, sf):
+    return chunks.embeddable(chunks.build(*_doc_symbols(spark, sf))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
