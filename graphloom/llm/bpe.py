@@ -39,10 +39,10 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from graphloom.llm.common import fresh, read, ship, spread
+from graphloom.llm.common import enter, fresh, on_leave, read, ship, spread
 
 MAX_STATES = 400_000
-MEMO = 160_000
+MEMO = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -310,10 +310,12 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+on_leave.append(_codecs.clear)
 
 
 def codec(file: str, pattern: str) -> Codec:
     """One codec per worker process; file is a name that Spark's file server knows."""
+    enter("bpe")
     key = (file, pattern)
     if key not in _codecs:
         _codecs.clear()

@@ -5,19 +5,34 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.durable import cut, drop_cut, shared_dir, spread
 
-__all__ = ["ascii_lower", "components", "count_words", "cut", "drop_cut", "fresh", "read", "shared_dir", "ship", "spread", "text_bytes", "trim"]
+__all__ = ["ascii_lower", "components", "count_words", "cut", "drop_cut", "enter", "fresh", "on_leave", "read", "shared_dir", "ship", "spread", "text_bytes", "trim"]
 
 ROOT = Path(__file__).resolve().parents[2]
 #: Words are runs of anything but space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: In a Python worker: the operator it last ran for, and how to drop what operators keep between tasks.
+_worker: dict[str, str] = {}
+on_leave: list[Callable[[], object]] = []
+
+
+def enter(operator: str) -> None:
+    """In a Python worker: a worker that turns to another operator forgets what the last one kept between tasks."""
+    if _worker.get("operator", operator) != operator:
+        for forget in on_leave:
+            forget()
+        trim()
+    _worker["operator"] = operator
+
+
 def trim() -> None:
     """In a Python worker: give freed memory back to the system, which allocators otherwise keep."""
     import ctypes

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.common import read, ship, spread
+from graphloom.llm.common import enter, read, ship, spread
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -278,6 +278,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("html")
         for b in batches:
             html = b.column(2)
             texts = [extract(html[i].as_py()) for i in range(b.num_rows)]

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from graphloom.llm.common import fresh, read, ship, spread, trim
+from graphloom.llm.common import enter, fresh, read, ship, spread, trim
 
 BITS = 18
 MAX_ROWS = 12_000
@@ -165,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model | Non
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         own = Features()
         for b in batches:
             texts = b.column("_text")
@@ -191,6 +192,7 @@ def _scored(docs: DataFrame, model: Model | None, text: str, keep_columns: list[
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         own, m = Features(), shared.value
         for b in batches:
             texts = b.column(own_text)

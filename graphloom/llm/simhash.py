@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import components, cut, fresh, read, ship, spread
+from graphloom.llm.common import components, cut, enter, fresh, read, ship, spread
 
 SEED = 42
 DISTANCE = 3
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("simhash")
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             fps = np.fromiter((fingerprint(texts[i].as_py() or b"") for i in range(len(texts))), np.uint64, len(texts))

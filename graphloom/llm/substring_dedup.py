@@ -36,7 +36,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from graphloom.llm.common import fresh, read, ship, spread, text_bytes, trim
+from graphloom.llm.common import enter, fresh, read, ship, spread, text_bytes, trim
 
 WIDTH = 13
 GROUP = 500_000
@@ -157,6 +157,7 @@ def _windows(width: int, bits: int, keyed: bool):
             yield _packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring dedup")
         ids: list[int] = []
         hashed: list[np.ndarray] = []
         keys: list[int] = []
