@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from graphloom.llm.common import enter, fresh, on_leave, read, ship, spread
 
 MAX_STATES = 400_000
-MEMO = 400_000
+MEMO = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
