@@ -31,8 +31,13 @@ def _clean() -> None:
             return
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files that outlive any executor."""
+def cut(df: DataFrame, name: str = "cut", compact: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends at files that outlive any executor.
+
+    compact: rows that are few or narrow against the work that made them move once more, so that
+    AQE writes files of its advisory size instead of one for each task."""
+    if compact:
+        df = df.hint("rebalance")
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _cuts.append((spark, path))
