@@ -173,7 +173,7 @@ def near_duplicates(vectors: DataFrame, cutoff: float = CUTOFF, pivots: int = PI
     units = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("label", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class", "times", "vec", "prefix")
     keys = ["label", "pivot", "i", "j"]
-    judged = cut(units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_judge(cutoff, shared, kind), "a long, b long, n long"), "vector-links")
+    judged = cut(units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_judge(cutoff, shared, kind), "a long, b long, n long"), "vector-links", compact=True)
     counts = judged.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
     linked = components(judged.where("b is not null").select("a", "b"), "vector-links")
     named = linked.join(classes.select(F.col("class").alias("node"), "first"), "node")

@@ -81,7 +81,7 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
 
 
 def sizes_of(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    return cut(docs.select("doc_id", F.col(source).alias("source"), count_words(F.col(text)).alias("size")), "mix-sizes")
+    return cut(docs.select("doc_id", F.col(source).alias("source"), count_words(F.col(text)).alias("size")), "mix-sizes", compact=True)
 
 
 def decide(sizes: DataFrame, planned: DataFrame, seed: str = SEED) -> DataFrame:

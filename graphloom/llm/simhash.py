@@ -160,7 +160,7 @@ def links(fps: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
     """Links (a, b) that connect all of the distinct fingerprints fps (fp) that are DISTANCE or fewer bits apart."""
     ship(fps.sparkSession)
     keyed = fps.select("fp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("i")).select(F.expr(KEY).alias("key"), "fp")
-    found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_scan(["key"], long_run), SCANNED), "simhash-links")
+    found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_scan(["key"], long_run), SCANNED), "simhash-links", compact=True)
     out = found.where("kind = 0").select("a", "b")
     if not found.where("kind = 1").isEmpty():
         again = found.where("kind = 1").select("key", F.col("a").alias("fp"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).alias("j")).select("key", F.expr(SUBKEY).alias("sub"), "fp")
@@ -171,7 +171,7 @@ def links(fps: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", long_run: int = LONG_RUN) -> DataFrame:
     """Rows (doc_id, fp, component_id), one for each row of docs."""
-    own = cut(fingerprints(docs, text), "simhash")
+    own = cut(fingerprints(docs, text), "simhash", compact=True)
     classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     linked = components(links(classes.select("fp"), long_run), "simhash-links")
     linked = cut(linked.join(classes, F.col("node") == F.col("fp")).select("fp", "first", "component"), "simhash-linked")
