@@ -10,7 +10,9 @@ but for paths below the threshold that are mostly links.
 
 What can't be content by its role never enters: scripts, styles, templates, forms, navigation,
 asides, footers, page headers, and elements whose class, id or ARIA role names a menu, sidebar,
-advert, notice or reader comments. An article or main element, where there is one, wins over
+advert, notice or reader comments. A class or id names it with the first or last word of a token
+(not no-sidebar), and hides no element that holds an article or main, or nearly all scores of the
+page. An article or main element, where there is one, wins over
 the search for the innermost element.
 
 Text: character references decoded once, white space within a block one space, ends trimmed,
@@ -59,14 +61,20 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 ASIDES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion promotions rail recommended related replies reply respond share sharing sidebar signup social sponsor sponsored sponsors subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+#: First words that make a class a state of something else, such as no-sidebar.
+STATES = frozenset("no not with without has is".split())
 ROOTS = frozenset("html body main article".split())
+HARD, SOFT = 1, 2
+#: Share of a page's scores from which a class can't hide an element in or beside an article.
+ONLY = 0.98
 
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^\"'>]|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*>",
     re.S,
 )
 _RAW_ENDS = {name: re.compile(rf"</{name}(?![A-Za-z0-9])[^>]*(?:>|\Z)", re.I) for name in RAW}
-_MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MARKS = frozenset("class id role hidden aria-hidden style".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？\"'()«»„“”]")
@@ -81,32 +89,46 @@ class Block:
         self.text, self.element, self.path, self.tag, self.linked = text, element, path, tag, linked
 
 
-def _aside(name: str, rest: str, in_article: bool) -> bool:
-    """The element stands beside the article: by its tag, role, class or id, or because it is hidden."""
+def _names_aside(value: str, whole: bool) -> bool:
+    """A token of a class or id names an aside at either end (whole: in all its words)."""
+    for token in value.split():
+        words = [w.lower() for w in _WORD.findall(token) if not w.isdigit()]
+        if words and words[0] not in STATES and (all(w in ASIDES for w in words) if whole else words[0] in ASIDES or words[-1] in ASIDES):
+            return True
+    return False
+
+
+def _aside(name: str, rest: str, in_article: bool) -> int:
+    """The element stands beside the article: HARD by its tag, role, or because it is hidden; SOFT by its class or id."""
     if name in NEVER or name == "header" and not in_article:
-        return True
+        return HARD
     if not rest or "=" not in rest and "hidden" not in rest.lower():
-        return False
-    for attribute, a, b, c in _MARKS.findall(rest):
+        return 0
+    soft = 0
+    for attribute, a, b, c in _ATTRIBUTE.findall(rest):
         attribute, value = attribute.lower(), a or b or c
+        if attribute not in _MARKS:
+            continue
         if attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true" or attribute == "style" and _HIDDEN.search(value):
-            return name not in ("html", "body")
+            if name not in ("html", "body"):
+                return HARD
         if attribute == "role" and value.lower() in ROLES:
-            return True
+            return HARD
         if attribute in ("class", "id") and name not in ROOTS - {"article"}:
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & ASIDES and not (name in HEADINGS and in_article) or "header" in words and not in_article and name not in HEADINGS:
-                return True
-    return False
+            header = not in_article and name not in HEADINGS and any(w and w[-1].lower() == "header" for w in map(_WORD.findall, value.split()))
+            if _names_aside(value, name == "article") and not (name in HEADINGS and in_article) or header and name != "article":
+                soft = SOFT
+    return soft
 
 
-def blocks(page: str) -> tuple[list[Block], list[str], list[int]]:
-    """The page's text blocks outside asides; the tags and the parents of its elements by number."""
+def blocks(page: str) -> tuple[list[Block], list[str], list[int], dict[int, bool]]:
+    """The page's text blocks outside hard asides; the tags and the parents of its elements by number; block elements that are soft asides, and whether in an article."""
     tags, parents, names, numbers = ["#root"], [0], ["#root"], [0]  # all elements; the open ones; their numbers
     paths, path_numbers, block_tags = [0], {}, ["#root"]  # of the elements: number of the path of block tags, innermost block
     opened = Counter()
     hidden_from = article_from = 0  # depth of the element that hides what is below / is the article
     out: list[Block] = []
+    soft: dict[int, bool] = {}
     parts: list[str] = []
     linked = total = 0
     links = 0
@@ -201,13 +223,31 @@ def blocks(page: str) -> tuple[list[Block], list[str], list[int]]:
         else:
             paths.append(paths[parent])
             block_tags.append(block_tags[parent])
-        if not hidden_from and _aside(name, rest, bool(article_from)):
-            hidden_from = len(names) - 1
+        if not hidden_from and (aside := _aside(name, rest, bool(article_from))):
+            if aside == SOFT and name in BLOCK:
+                soft[numbers[-1]] = bool(article_from)
+            else:
+                hidden_from = len(names) - 1
         if name in ("article", "main") and not article_from:
             article_from = len(names) - 1
         links += name == "a"
     flush()
-    return out, tags, parents
+    return out, tags, parents, soft
+
+
+def _without_asides(found: list[Block], tags: list[str], parents: list[int], soft: dict[int, bool], hold: float) -> list[Block]:
+    """found without the blocks of soft asides, but for those that hold an article or main, or what the page is about."""
+    scored = [0.0] * len(tags)
+    holds = [tag in ("article", "main") and n not in soft for n, tag in enumerate(tags)]
+    for b, f in zip(found, scores(found), strict=True):
+        scored[b.element] += f
+    for n in range(len(tags) - 1, 0, -1):
+        scored[parents[n]] += scored[n]
+        holds[parents[n]] |= holds[n]
+    gone = [False] * len(tags)
+    for n in range(1, len(tags)):
+        gone[n] = gone[parents[n]] or n in soft and not holds[n] and not scored[n] >= (ONLY if soft[n] or holds[0] else hold) * scored[0]
+    return [b for b in found if not gone[b.element]]
 
 
 def _smooth(x: list[float], sigma: float = 1.0) -> list[float]:
@@ -241,7 +281,9 @@ def extract(page: str | None, share: float = 0.4, hold: float = 0.8) -> str:
     """The main text. share: of the mean score, above which a block is content; hold: of all content, what the article's element must hold."""
     if not page:
         return ""
-    found, tags, parents = blocks(page)
+    found, tags, parents, soft = blocks(page)
+    if soft and found:
+        found = _without_asides(found, tags, parents, soft, hold)
     if not found:
         return ""
     fused = scores(found)
