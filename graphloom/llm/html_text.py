@@ -68,6 +68,7 @@ HARD, SOFT = 1, 2
 #: Share of a page's scores from which a class can't hide an element in or beside an article.
 ONLY = 0.98
 
+#: Quoted values are bounded here, so that a quote never closed costs no scan of the page; _end_of_tag reads longer ones.
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^\"'>]|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*>",
     re.S,
@@ -89,6 +90,29 @@ class Block:
         self.text, self.element, self.path, self.tag, self.linked = text, element, path, tag, linked
 
 
+_STOP = re.compile("[\"'>]")
+
+
+def _end_of_tag(page: str, at: int, dead: set[int]) -> int:
+    """Where the ">" stands that ends a tag, its quoted values of any length; -1: a quote isn't closed, or there is none.
+
+    dead: places outside quotes from which there is none; kept for the page, so that all calls are linear together."""
+    seen = []
+    while at not in dead and (m := _STOP.search(page, at)):
+        if m[0] == ">":
+            return m.start()
+        seen.append(m.start())
+        if m.start() in dead:
+            break
+        close = page.find(m[0], m.end())
+        if close < 0:
+            break
+        at = close + 1
+        seen.append(at)
+    dead.update(seen)
+    return -1
+
+
 def _names_aside(value: str, whole: bool) -> bool:
     """A token of a class or id names an aside at either end (whole: in all its words)."""
     for token in value.split():
@@ -157,6 +181,7 @@ def blocks(page: str) -> tuple[list[Block], list[str], list[int], dict[int, bool
             article_from = 0
 
     at, end_of_page, last_tag = 0, len(page), page.rfind(">") + 1
+    dead: set[int] = set()
     while at < end_of_page:
         m = _TOKEN.search(page, at) if at < last_tag or page.find("<!--", at) >= 0 else None
         text = page[at : m.start()] if m else page[at:]
@@ -172,6 +197,8 @@ def blocks(page: str) -> tuple[list[Block], list[str], list[int], dict[int, bool
         if not name:
             continue
         name, rest = name.lower(), m["rest"] if m["name"] else m["rest2"]
+        if m["name2"] and (end := _end_of_tag(page, m.start("rest2"), dead)) >= 0:  # a value longer than the pattern's
+            rest, at = page[m.start("rest2") : end], end + 1
         if m["end"] or m["end2"]:
             if name in BLOCK:
                 flush()

@@ -26,3 +26,23 @@ def test_asides_still_go():
 
     beside = "".join(f"<div class='{c}'>{PROSE}</div>" for c in ("main-nav", "left-sidebar", "ad-300x250", "siteFooter", "cookie-notice"))
     assert extract(f"<body>{beside}<article><h1>T</h1><p>Short.</p></article><div id=comments><article class='comment'>{PROSE * 9}</article></div></body>") == "T\nShort."
+
+
+@pytest.mark.parametrize("n", [100, 5000, 500_000])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_quoted_values_of_any_length(n, quote):
+    from graphloom.llm.html_text import extract
+
+    value = quote + "<b>" + "x" * n + "</b>" + quote
+    assert extract(f"<body><div data-x={value} class='nav'>{PROSE}</div><div data-y={value}>{PROSE * 2}</div></body>") == f"{TEXT}\n{TEXT}"
+
+
+def test_broken_quotes_take_linear_time():
+    import time
+
+    from graphloom.llm.html_text import extract
+
+    for page in ("<a \"" * 200_001 + ">", "<p x='>" * 100_001, "<a \">" * 100_001 + "'", "<a x=\"" + "y" * 5000 + ">" + "<b '\">" * 50_001):
+        start = time.time()
+        extract(page)
+        assert time.time() - start < 20
