@@ -1,24 +1,29 @@
 """Main text of web pages by tag-path ratios.
 
 The html becomes a sequence of text blocks, each with its root-to-leaf path of block tags. Per
-path, text length and punctuation are summed and divided by the path's number of blocks; both
-ratio sequences are smoothed over the page with a Gaussian and fused by their product. Blocks
-above a share of the page's mean are content, and show where the article is: the innermost
-element that still holds nearly all content. Ratios belong to paths, so a short paragraph
-shares the score of its long neighbours. Within that element, headings and every path stay,
-but for paths below the threshold that are mostly links.
-
-What can't be content by its role never enters: scripts, styles, templates, forms, navigation,
-asides, footers, page headers, and elements whose class, id or ARIA role names a menu, sidebar,
-advert, notice or reader comments. A class or id names it with the first or last word of a token
-(not no-sidebar), and hides no element that holds an article or main, or nearly all scores of the
-page. An article or main element, where there is one, wins over
-the search for the innermost element.
+path, the text outside links and its punctuation are summed and divided by the path's number of
+blocks; both ratio sequences are smoothed over the page with a Gaussian, in which neighbours of
+another path weigh little; their product, averaged over the path's blocks and multiplied by the
+path's prior, is the path's score. Scores belong to paths, so a short paragraph shares that of
+its long neighbours. Paths above a share of the page's level are content; the level is the mean
+score, weighed by text and prior.
+
+Priors: paths below an article or main count more; those of asides, which a class or id names as
+menu, sidebar, advert, notice or reader comments, next to nothing. A class or id names an aside
+with the first or last word of a token (not no-sidebar), and none that holds the only article or
+main, or nearly all scores of the page. What can't be content by its tag or role never enters:
+scripts, styles, templates, forms, navigation, asides, footers, page headers, hidden elements.
+
+Content nodes: the innermost element that still holds nearly all text of content paths is the
+article. In it stay the blocks of content paths, headings, what stands directly in elements that
+hold content, and paragraphs, list items, table cells and other elements made for text unless
+they are mostly links; a div or section whose path is below the threshold goes, and so do asides.
 
 Text: character references decoded once, white space within a block one space, ends trimmed,
 blocks in page order joined by one "\\n". Nothing else is dropped or cut.
 
-Defined results: null, empty and text-less html give "" and 0; broken markup is read to its
+Defined results: null, empty and text-less html give "" and 0, and so does a page with nothing
+but asides; broken markup is read to its
 end (an unclosed tag is text, an unclosed comment or script runs to the end); nesting of any
 depth is read iteratively; repeated rows are read each; other columns are ignored; an empty
 table gives no rows. Each page is read alone: memory is a page and its blocks.
@@ -45,6 +50,8 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = HEADINGS | frozenset("p li td th pre dd dt".split())
+#: Elements made for text: beside the leaves, what quotes or describes.
+TEXTUAL = LEAVES | frozenset("blockquote figcaption caption summary".split())
 NEVER = frozenset("head nav footer aside form button select option optgroup input label fieldset dialog menu svg canvas object audio video math map".split())
 #: A start tag ends these open elements, unless one of the fences is met first.
 CLOSES = {
@@ -64,9 +71,14 @@ ASIDES = frozenset(
 #: First words that make a class a state of something else, such as no-sidebar.
 STATES = frozenset("no not with without has is".split())
 ROOTS = frozenset("html body main article".split())
+TRUNKS = BLOCK - TEXTUAL
 HARD, SOFT = 1, 2
-#: Share of a page's scores from which a class can't hide an element in or beside an article.
+#: Share of a page's scores from which a class can't hide an element in an article.
 ONLY = 0.98
+#: Priors of paths below an article or main, and of asides.
+IN_ARTICLE, IN_ASIDE = 10.0, 0.001
+#: Weight of a neighbour of another path in smoothing.
+OTHER_PATH = 0.05
 
 #: Quoted values are bounded here, so that a quote never closed costs no scan of the page; _end_of_tag reads longer ones.
 _TOKEN = re.compile(
@@ -262,78 +274,94 @@ def blocks(page: str) -> tuple[list[Block], list[str], list[int], dict[int, bool
     return out, tags, parents, soft
 
 
-def _without_asides(found: list[Block], tags: list[str], parents: list[int], soft: dict[int, bool], hold: float) -> list[Block]:
-    """found without the blocks of soft asides, but for those that hold an article or main, or what the page is about."""
+def _asides(found: list[Block], tags: list[str], parents: list[int], soft: dict[int, bool], hold: float) -> list[bool]:
+    """By element: it stands in a soft aside; not in one that holds the only article or main, or what the page is about."""
     scored = [0.0] * len(tags)
     holds = [tag in ("article", "main") and n not in soft for n, tag in enumerate(tags)]
-    for b, f in zip(found, scores(found), strict=True):
+    for b, f in zip(found, scores(found, [1.0] * len(found)), strict=True):
         scored[b.element] += f
     for n in range(len(tags) - 1, 0, -1):
         scored[parents[n]] += scored[n]
         holds[parents[n]] |= holds[n]
     gone = [False] * len(tags)
     for n in range(1, len(tags)):
-        gone[n] = gone[parents[n]] or n in soft and not holds[n] and not scored[n] >= (ONLY if soft[n] or holds[0] else hold) * scored[0]
-    return [b for b in found if not gone[b.element]]
+        gone[n] = gone[parents[n]] or n in soft and not holds[n] and (holds[0] and not soft[n] or scored[n] < (ONLY if soft[n] else hold) * scored[0] or not scored[n])
+    return gone
 
 
-def _smooth(x: list[float], sigma: float = 1.0) -> list[float]:
+def _smooth(x: list[float], path: list, sigma: float = 1.0) -> list[float]:
     reach = 2
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
     out = []
     for i in range(len(x)):
         weight = value = 0.0
-        for k in range(-reach, reach + 1):
-            if 0 <= i + k < len(x):
-                weight += kernel[k + reach]
-                value += kernel[k + reach] * x[i + k]
+        for j in range(max(0, i - reach), min(len(x), i + reach + 1)):
+            w = kernel[j - i + reach] * (1.0 if path[i] == path[j] else OTHER_PATH)
+            weight += w
+            value += w * x[j]
         out.append(value / weight)
     return out
 
 
-def scores(found: list[Block]) -> list[float]:
-    """Fused, smoothed path ratios, one per block."""
-    sums: dict[int, list[float]] = {}
-    for b in found:
-        s = sums.setdefault(b.path, [0, 0, 0])
+def scores(found: list[Block], prior: list[float]) -> list[float]:
+    """The score of each block's path: smoothed ratios, fused, times the prior, by which paths are also told apart."""
+    path = [(b.path, p) for b, p in zip(found, prior, strict=True)]
+    sums: dict[tuple[int, float], list[float]] = {}
+    for b, k in zip(found, path, strict=True):
+        s = sums.setdefault(k, [0, 0, 0, 0.0])
         s[0] += 1
         s[1] += len(b.text) * (1 - b.linked)
         s[2] += len(_PUNCTUATION.findall(b.text)) * (1 - b.linked)
-    length = _smooth([sums[b.path][1] / sums[b.path][0] for b in found])
-    marks = _smooth([sums[b.path][2] / sums[b.path][0] for b in found])
-    return [a * (1 + p) for a, p in zip(length, marks, strict=True)]
+    length = _smooth([sums[k][1] / sums[k][0] for k in path], path)
+    marks = _smooth([sums[k][2] / sums[k][0] for k in path], path)
+    for k, a, m in zip(path, length, marks, strict=True):
+        sums[k][3] += a * (1 + m)
+    return [sums[k][3] / sums[k][0] * k[1] for k in path]
 
 
-def extract(page: str | None, share: float = 0.4, hold: float = 0.8) -> str:
-    """The main text. share: of the mean score, above which a block is content; hold: of all content, what the article's element must hold."""
+def extract(page: str | None, share: float = 0.2, hold: float = 0.8) -> str:
+    """The main text. share: of the page's level, from which a path is content; hold: of all content, what the article's element must hold."""
     if not page:
         return ""
     found, tags, parents, soft = blocks(page)
-    if soft and found:
-        found = _without_asides(found, tags, parents, soft, hold)
     if not found:
         return ""
-    fused = scores(found)
-    threshold = share * sum(fused) / len(fused)
-    held = [0.0] * len(tags)
-    for b, f in zip(found, fused, strict=True):
-        held[b.element] += (len(b.text) * (1 - b.linked) if f >= threshold else 0.0) + 1e-9 * len(b.text)
-    for n in range(len(tags) - 1, 0, -1):  # parents come before their children
+    gone = _asides(found, tags, parents, soft, hold) if soft else [False] * len(tags)
+    if all(gone[b.element] for b in found):
+        return ""
+    below = [tag in ("article", "main") for tag in tags]
+    for n in range(1, len(tags)):  # parents come before their children
+        below[n] |= below[parents[n]]
+    prior = [IN_ASIDE if gone[b.element] else IN_ARTICLE if below[b.element] else 1.0 for b in found]
+    fused = scores(found, prior)
+    weight = [(len(b.text) * (1 - b.linked) + 1e-6 * len(b.text)) * p for b, p in zip(found, prior, strict=True)]
+    threshold = share * sum(w * f for w, f in zip(weight, fused, strict=True)) / sum(weight)
+    content = [f >= threshold for f in fused]
+    held, around = [0.0] * len(tags), [False] * len(tags)
+    for b, w, c in zip(found, weight, content, strict=True):
+        held[b.element] += w if c else 0.0
+        around[b.element] |= c and b.tag not in HEADINGS
+    for n in range(len(tags) - 1, 0, -1):
         held[parents[n]] += held[n]
-    chosen = next((n for tag in ("article", "main") for n in [_largest(range(len(tags)), held, tags, (tag,))] if n), 0)
-    if not chosen:
-        # down from the root while one child that is no leaf block holds nearly everything
-        children: dict[int, list[int]] = {}
-        for n in range(1, len(tags)):
-            if held[n]:
-                children.setdefault(parents[n], []).append(n)
-        while (best := _largest(children.get(chosen, ()), held, tags, BLOCK - LEAVES)) and held[best] >= hold * held[chosen]:
-            chosen = best
+        around[parents[n]] |= around[n]
+    # down from the root while one child that is no leaf block holds nearly everything
+    chosen, children = 0, {}
+    for n in range(1, len(tags)):
+        if held[n]:
+            children.setdefault(parents[n], []).append(n)
+    while (best := _largest(children.get(chosen, ()), held, tags, TRUNKS)) and held[best] >= hold * held[chosen]:
+        chosen = best
     inside = [False] * len(tags)
     inside[chosen] = True
     for n in range(1, len(tags)):
         inside[n] |= inside[parents[n]]
-    return "\n".join(b.text for b, f in zip(found, fused, strict=True) if inside[b.element] and (b.linked <= 0.5 or f >= threshold or b.tag in HEADINGS))
+
+    def stays(b: Block, is_content: bool) -> bool:
+        if not inside[b.element] or gone[b.element] and not is_content:
+            return False
+        return is_content or b.tag in HEADINGS or b.linked <= 0.5 and (b.tag in TEXTUAL or around[b.element])
+
+    return "\n".join(b.text for b, c in zip(found, content, strict=True) if stays(b, c))
 
 
 def _largest(numbers, held: list[float], tags: list[str], among) -> int:

@@ -46,3 +46,64 @@ def test_broken_quotes_take_linear_time():
         start = time.time()
         extract(page)
         assert time.time() - start < 20
+
+
+def test_marks_inside_values_and_data_attributes_hide_nothing():
+    from graphloom.llm.html_text import extract
+
+    page = "<article><p title='a hidden gem'>First para.</p><p data-hidden='false'>Second.</p><p data-id='comment-5'>Third.</p><p style='color:red' data-class=ad>Fourth.</p></article>"
+    assert extract(page) == "First para.\nSecond.\nThird.\nFourth."
+
+
+PROMO = "".join(f"<div>Offer {i} now</div>" for i in range(60))
+PLAIN = [
+    (f"<body><div>{PROMO}</div><div><h2>T</h2>{PROSE * 4}<p>Short.</p></div></body>", "\n".join(["T", *[TEXT] * 4, "Short."])),
+    (f"<body><table><tr><td><a href=x>one</a> <a href=y>two</a></td><td>{PROSE * 3}</td></tr></table></body>", "\n".join([TEXT] * 3)),
+    (f"<body><div><div>Tag</div><div>Tag</div><section><p>{TEXT}<ul><li>a<li>b</ul>{PROSE}</section></div></body>", "\n".join([TEXT, "a", "b", TEXT])),
+]
+
+
+@pytest.mark.parametrize("page, want", PLAIN)
+def test_pages_without_article_or_main(page, want):
+    from graphloom.llm.html_text import extract
+
+    assert extract(page) == want
+
+
+def test_a_page_of_asides_alone_is_empty():
+    from graphloom.llm.html_text import extract
+
+    assert extract(f"<body><div class='ad'>{PROSE}</div><div class='sidebar'>x</div><article></article></body>") == ""
+    assert extract("<body><div class='ad'>Buy, now.</div><div class='cookie-notice'>ok</div></body>") == ""
+
+
+def test_ablation_path_scores_decide(spark, monkeypatch):
+    """All pages of a table without their marks (article, nav, footer, class), with the advert eight times: equal scores or single lengths do much worse."""
+    import html as entities
+    import re
+
+    from graphloom.llm import html_text
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+
+    def truth(page):
+        article = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+        parts = [" ".join(entities.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+        return "\n".join(b for b in parts if b)
+
+    def bare(page):
+        page = re.sub(r"(</?)(?:article|nav|footer)>", r"\1div>", page)
+        return re.sub(r'<div class="ad">(.*?)</div>', r"<div>\1</div>" * 8, page)
+
+    def right():
+        return sum(html_text.extract(bare(p)) == truth(p) for p in pages) / len(pages)
+
+    own = right()
+    lost = sum(bool(set(truth(p).split("\n")) - set(html_text.extract(bare(p)).split("\n"))) for p in pages)
+    monkeypatch.setattr(html_text, "scores", lambda found, prior: [1.0] * len(found))
+    equal = right()
+    monkeypatch.setattr(html_text, "scores", lambda found, prior: [float(len(b.text)) for b in found])
+    lengths = right()
+    print(own, equal, lengths, lost)
+    assert own > 0.7 and own > equal + 0.15 and own > lengths + 0.03 and lost <= 0.01 * len(pages)
+    assert html_text.extract(PLAIN[0][0]) != PLAIN[0][1]
