@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.durable import cut, drop_cut, shared_dir, spread
 
-__all__ = ["ascii_lower", "components", "count_words", "cut", "drop_cut", "enter", "fresh", "on_leave", "read", "shared_dir", "ship", "spread", "text_bytes", "trim"]
+__all__ = ["ascii_lower", "components", "count_words", "cut", "drop_cut", "enter", "fresh", "join_hot", "on_leave", "read", "shared_dir", "ship", "spread", "text_bytes", "trim"]
 
 ROOT = Path(__file__).resolve().parents[2]
 #: Words are runs of anything but space and the control characters tab to carriage return.
@@ -95,6 +95,23 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Keys that have more than one row in so many are hot.
+HOT_SHARE = 256
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], times: str = "times") -> DataFrame:
+    """rows with their facts, by keys of which a few may have most rows.
+
+    facts has one row for each key and, in times, how many rows the key has; its other columns are
+    added. Keys with more than one row in HOT_SHARE are fewer than HOT_SHARE, so their facts are
+    broadcast and their rows stay where they are; the others meet in a shuffle."""
+    total = facts.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) * HOT_SHARE > total
+    some = F.broadcast(facts.where(hot).drop(times))
+    rest = rows.join(F.broadcast(facts.where(hot).select(keys)), keys, "left_anti")
+    return rows.join(some, keys).unionByName(rest.join(facts.where(~hot).drop(times), keys))
+
+
 def components(edges: DataFrame, name: str = "links", max_rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b), both long: rows (node, component), component the least node.
 

@@ -1,73 +1,109 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-A vector is described by its NEAREST closest pivots of PIVOTS, in order. Inverted lists, one
-for each label and pivot, hold the vectors that have the pivot in their prefix; two vectors
-that share at least SHARED pivots are candidates, and a candidate links if its cosine in double
-precision is CUTOFF or more. A pair is judged in the list of its first shared pivot only, so
+A vector is described by its NEAREST closest pivots, an ordered prefix of its pivot permutation.
+Inverted lists hold, for each label and pair of pivots, the vectors that have both in their
+prefix: whatever meets in a list shares at least two pivots, so the shared-pivot count needs no
+list of a single pivot to be paired out. What meets is verified: it links if its cosine in double
+precision is CUTOFF or more. A link counts in the list of its two smallest shared pivots only, so
 that it counts once though it meets in several.
 
-Pivots are a bounded sample: the PIVOTS valid vectors with the smallest hash of vec_id. Every
-vector is indexed. The index is approximate: candidates that share fewer pivots are not looked
-at; recall against brute force is measured in the tests. Vectors of a length that no pivot has share one list each, which is exact.
+Pivots grow with the input, about GROWTH times the root of its rows, so that lists of unrelated
+vectors stay short: they come from a bounded sample, the SAMPLE times as many valid vectors with
+the smallest hash of vec_id, at most MAX_PIVOTS of them, none with a cosine of APART or more to
+one before it - else a large group of near copies would take all the pivots. Every vector is
+indexed. The index is approximate: candidates that share fewer than two pivots are not looked at;
+README has its recall. Vectors of a length that has too few pivots to choose from share one list,
+which is exact.
 
-Equal vectors of a label are one class with a multiplicity, so copies cost one entry. A list
+Lists of one vector are dropped on narrow rows, before vectors are sent to lists. Equal vectors
+of a label are one class with a multiplicity, so copies cost one entry. A list
 longer than BLOCK is cut into blocks by hash; each pair of blocks is a unit of its own, so a
 hot list spreads over tasks. A unit yields, per vector, the number of vectors linked, and links
 that span what it connects - never its pairs.
 
 Defined results: a vector that is null, empty or zero or holds a null or non-finite component,
 and one whose label is null, links with nothing: n_links 0, its own component. Rows with the
-same vec_id and different vectors are judged each; equal rows are copies. A class is named by a
-64-bit hash of label and vector. Empty table: no rows; other columns are ignored.
+same vec_id and different vectors are judged each; equal rows are copies, told by two 64-bit
+hashes of label and vector. Empty table: no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import components, cut, read, ship
+from graphloom.llm.common import components, cut, join_hot, read, ship
 from graphloom.llm.vectors import finite, rows_of
 
-PIVOTS = 256
-NEAREST = 12
-SHARED = 2
+NEAREST = 6
+GROWTH = 4
+MIN_PIVOTS, MAX_PIVOTS = 64, 8192
+SAMPLE = 4
+APART = 0.9
 CUTOFF = 0.98
 BLOCK = 1024
+VALID = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
+#: The list of vectors that have no pivots to choose from.
+EVERYTHING = -1
 
 
-def pick_pivots(vectors: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
-    """By vector length: unit pivots, at most n in all."""
-    valid = F.expr("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
-    got = vectors.where(valid).orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select(F.col("embedding").cast("array<double>").alias("x")).collect()
+def pivots_for(n: int) -> int:
+    return min(MAX_PIVOTS, max(MIN_PIVOTS, GROWTH * isqrt(max(n, 0))))
+
+
+def pick_pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """By vector length: unit pivots apart from one another, at most n of each, out of SAMPLE * n vectors."""
+    got = vectors.where(F.expr(VALID)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE * n).select(F.col("embedding").cast("array<double>").alias("x")).collect()
     by: dict[int, list[np.ndarray]] = {}
     for r in got:
         x = np.array(r["x"])
-        by.setdefault(len(x), []).append(x / np.linalg.norm(x))
-    return {k: np.unique(np.stack(v), axis=0) for k, v in by.items()}
+        by.setdefault(len(x), []).append(x / np.abs(x).max())
+    out = {}
+    for length, xs in by.items():
+        unit = np.stack([x / np.linalg.norm(x) for x in xs])
+        kept, k = np.zeros((min(n, len(unit)), length)), 0
+        for x in unit:
+            if k < n and (not k or (kept[:k] @ x).max() < APART):
+                kept[k] = x
+                k += 1
+        out[length] = kept[:k]
+    return out
 
 
 def _describe(pivots: dict[int, np.ndarray], nearest: int, kind: str):
-    """Vectors with their bytes, in their own precision, and their pivot permutation's prefix; both null if they take no part."""
+    """Vectors with their bytes, in their own precision, their prefix as sorted pivot numbers, and their lists; null if they take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = rows_of(b.column("embedding"))
-            label = b.column("label")
-            vec, prefix = [], []
+            rows, label = rows_of(b.column("embedding")), b.column("label")
+            vec, prefix, lists = ([None] * b.num_rows for _ in range(3))
+            by: dict[int, list[int]] = {}
             for i, x in enumerate(rows):
-                if not (finite(x) and x.any() and label[i].is_valid):
-                    vec.append(None)
-                    prefix.append(None)
-                    continue
-                x = x.astype(np.float64) + 0.0  # -0.0 is 0.0
-                vec.append(x.astype(kind).tobytes())
-                own = pivots.get(len(x))
-                prefix.append([-1] if own is None else np.argsort(-(own @ x), kind="stable")[:nearest].tolist())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), label, pa.array(vec, pa.binary()), pa.array(prefix, pa.list_(pa.int32()))], ["vec_id", "label", "vec", "prefix"])
+                if finite(x) and x.any() and label[i].is_valid:
+                    by.setdefault(len(x), []).append(i)
+            for length, at in by.items():
+                own = pivots.get(length)
+                for s in range(0, len(at), 256):  # bounds the products with all pivots
+                    some = at[s : s + 256]
+                    x = np.stack([rows[i] for i in some]).astype(np.float64) + 0.0  # -0.0 is 0.0
+                    for i, bits in zip(some, x.astype(kind), strict=True):
+                        vec[i] = bits.tobytes()
+                    if own is None or len(own) <= nearest:
+                        for i in some:
+                            prefix[i], lists[i] = b"", [EVERYTHING]
+                        continue
+                    near = np.sort(np.argsort(-(x / np.abs(x).max(axis=1)[:, None] @ own.T), axis=1, kind="stable")[:, :nearest], axis=1).astype(np.int32)
+                    keys = np.stack([near[:, p].astype(np.int64) << 32 | near[:, q] for p, q in combinations(range(nearest), 2)], axis=1)
+                    for r, i in enumerate(some):
+                        prefix[i], lists[i] = near[r].tobytes(), keys[r].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [b.column("vec_id"), label, pa.array(vec, pa.binary()), pa.array(prefix, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["vec_id", "label", "vec", "prefix", "lists"]
+            )
 
     return run
 
@@ -91,32 +127,34 @@ def _spanning(link: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _judge(cutoff: float, shared: int, kind: str):
+def first_shared(prefix: np.ndarray, link: np.ndarray, key: int) -> None:
+    """Clear what the symmetric matrix links in this list (its two pivots) but meets in an earlier one too: where less than the larger pivot more than one is shared."""
+    q = key & 0xFFFFFFFF
+    for start in range(0, len(link), 64):
+        i, j = np.nonzero(link[start : start + 64])
+        i += start
+        shared = (prefix[i][:, :, None] == prefix[j][:, None, :]).any(axis=2)
+        again = (shared & (prefix[i] < q)).sum(axis=1) > 1
+        link[i[again], j[again]] = False
+
+
+def _judge(cutoff: float, kind: str):
     """Units, sorted, to rows (a, b, n): a link if b is not null, else n vectors linked to a."""
 
-    def unit(pivot: int, same: bool, key: np.ndarray, times: np.ndarray, side: np.ndarray, vec: list[bytes], prefix: list[list[int]]) -> Iterator[pa.RecordBatch]:
-        if len(key) < 2:
-            return
-        size = {len(v) for v in vec}
-        for n in size:  # vectors of other lengths don't link
+    def unit(list_: int, same: bool, key: np.ndarray, times: np.ndarray, side: np.ndarray, vec: list[bytes], prefix: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for n in {len(v) for v in vec}:  # vectors of other lengths don't link
             at = np.array([i for i, v in enumerate(vec) if len(v) == n])
-            x = np.frombuffer(b"".join(vec[i] for i in at), kind).astype(np.float64).reshape(len(at), -1)
-            top = max(max(prefix[i]) for i in at) + 2
-            has = np.zeros((len(at), top), np.float32)
-            for r, i in enumerate(at):
-                has[r, np.array(prefix[i]) + 1] = 1
-            need = min(shared, min(len(prefix[i]) for i in at))
-            candidate = has @ has.T >= need
-            np.fill_diagonal(candidate, False)
-            if not same:
-                candidate &= side[at][:, None] != side[at][None, :]
-            if not candidate.any():
+            if len(at) < 2:
                 continue
-            # a pair belongs to the list of its first shared pivot
-            before = has[:, : pivot + 1]
-            candidate &= before @ before.T == 0
+            x = np.frombuffer(b"".join(vec[i] for i in at), kind).astype(np.float64).reshape(len(at), -1)
+            x /= np.abs(x).max(axis=1)[:, None]
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-            link = candidate & ((x @ x.T) / (norm[:, None] * norm[None, :]) >= cutoff)
+            link = (x @ x.T) / (norm[:, None] * norm[None, :]) >= cutoff
+            np.fill_diagonal(link, False)
+            if not same:
+                link &= side[at][:, None] != side[at][None, :]
+            if list_ != EVERYTHING and link.any():
+                first_shared(np.frombuffer(b"".join(prefix[i] for i in at), np.int32).reshape(len(at), -1), link, list_)
             if not link.any():
                 continue
             count = link @ times[at]
@@ -134,10 +172,10 @@ def _judge(cutoff: float, shared: int, kind: str):
 
         def settle() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            yield from unit(current[1], current[2] == current[3], t["class"].to_numpy(), t["times"].to_numpy(), t["side"].to_numpy(), t["vec"].to_pylist(), t["prefix"].to_pylist())
+            yield from unit(current[1], current[2] == current[3], t["id"].to_numpy(), t["times"].to_numpy(), t["side"].to_numpy(), t["vec"].to_pylist(), t["prefix"].to_pylist())
 
         for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in ("label", "pivot", "i", "j")), strict=True))
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("label", "list", "i", "j")), strict=True))
             s = 0
             while s < len(keys):
                 e = s
@@ -155,34 +193,43 @@ def _judge(cutoff: float, shared: int, kind: str):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cutoff: float = CUTOFF, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def indexed(vectors: DataFrame, pivots: int | None = None, nearest: int = NEAREST, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (vec_id, h1, h2), the hashes null for those that take no part; classes (id, h1, h2, label, first, times, vec, prefix, lists); lists (label, list, n, blocks) of two and more classes."""
+    kinds = dict(vectors.dtypes)
+    chosen = pick_pivots(vectors, pivots or pivots_for(vectors.count()))
+    kind = "f4" if kinds["embedding"] == "array<float>" else "f8"
+    described = vectors.mapInArrow(_describe(chosen, nearest, kind), f"vec_id {kinds['vec_id']}, label {kinds['label']}, vec binary, prefix binary, lists array<long>")
+    hashes = {"h1": F.xxhash64("label", "vec"), "h2": F.xxhash64(F.lit(1), "vec", "label")}
+    described = cut(described.withColumns({name: F.when(F.col("vec").isNotNull(), h) for name, h in hashes.items()}), "vectors")
+    first = [F.first(c).alias(c) for c in ("label", "vec", "prefix", "lists")]
+    classes = described.where("vec is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("times"), *first)
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")  # written, so ids stay
+    listed = classes.select("label", F.explode("lists").alias("list"))
+    lists = listed.groupBy("label", "list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return described.select("vec_id", "h1", "h2"), classes, cut(lists.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "vector-lists")
+
+
+def near_duplicates(vectors: DataFrame, cutoff: float = CUTOFF, pivots: int | None = None, nearest: int = NEAREST, block: int = BLOCK) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of vectors (vec_id, embedding, label)."""
     ship(vectors.sparkSession)
     vectors = vectors.select("vec_id", F.col("embedding"), "label")
-    kinds = dict(vectors.dtypes)
-    chosen = pick_pivots(vectors, pivots)
-    kind = "f4" if kinds["embedding"] == "array<float>" else "f8"
-    described = vectors.mapInArrow(_describe(chosen, nearest, kind), f"vec_id {kinds['vec_id']}, label {kinds['label']}, vec binary, prefix array<int>")
-    described = cut(described.withColumn("class", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec"))), "vectors")
-    rows = described.select("vec_id", "class")
-    classes = cut(described.where("vec is not null").groupBy("class", "label").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("times"), F.first("vec").alias("vec"), F.first("prefix").alias("prefix")), "vector-classes")
-    listed = classes.select("class", "label", "times", "vec", "prefix", F.explode("prefix").alias("pivot"))
-    # written first, so that Spark knows its size when it chooses the join: vectors then needn't move for it
-    blocks = cut(listed.groupBy("label", "pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "vector-lists")
-    spread = listed.join(blocks, ["label", "pivot"]).withColumn("own", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"))
-    units = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("label", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class", "times", "vec", "prefix")
-    keys = ["label", "pivot", "i", "j"]
-    judged = cut(units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_judge(cutoff, shared, kind), "a long, b long, n long"), "vector-links", compact=True)
-    counts = judged.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
+    rows, classes, lists = indexed(vectors, pivots, nearest, block)
+    kind = "f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "f8"
+    members = classes.select("id", "label", F.explode("lists").alias("list")).join(lists.select("label", "list", "blocks"), ["label", "list"])
+    members = members.withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = members.select("id", "label", "list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    units = units.join(classes.select("id", "times", "vec", "prefix"), "id")
+    keys = ["label", "list", "i", "j"]
+    judged = cut(units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_judge(cutoff, kind), "a long, b long, n long"), "vector-links", compact=True)
+    counts = judged.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     linked = components(judged.where("b is not null").select("a", "b"), "vector-links")
-    named = linked.join(classes.select(F.col("class").alias("node"), "first"), "node")
+    named = linked.join(classes.select(F.col("id").alias("node"), "first"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
-    ids = named.join(least, "component").select(F.col("node").alias("class"), "least")
-    facts = classes.select("class", "first", "times").join(counts, "class", "left").join(ids, "class", "left")
-    facts = cut(facts.select("class", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id")), "vector-facts")
-    own = rows.where("class is not null").join(facts, "class").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
-    rest = rows.where("class is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    ids = named.join(least, "component").select(F.col("node").alias("id"), "least")
+    facts = classes.select("id", "h1", "h2", "first", "times").join(counts, "id", "left").join(ids, "id", "left")
+    facts = cut(facts.select("h1", "h2", "times", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id")), "vector-facts")
+    own = join_hot(rows.where("h1 is not null"), facts, ["h1", "h2"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    rest = rows.where("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return own.unionAll(rest).withColumn("kept", F.expr("vec_id <=> component_id"))
 
 
