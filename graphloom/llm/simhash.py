@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import components, cut, enter, fresh, read, ship, spread
+from graphloom.llm.common import components, cut, enter, fresh, join_hot, read, ship, spread
 
 SEED = 42
 DISTANCE = 3
@@ -169,24 +169,32 @@ def links(fps: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", long_run: int = LONG_RUN) -> DataFrame:
-    """Rows (doc_id, fp, component_id), one for each row of docs."""
-    own = cut(fingerprints(docs, text), "simhash", compact=True)
-    classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+def grouped(own: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
+    """Rows (fp, times, component, component_id) of rows (doc_id, fp): component names the group by one of its fingerprints."""
+    classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times")), "simhash-classes")
     linked = components(links(classes.select("fp"), long_run), "simhash-links")
     linked = cut(linked.join(classes, F.col("node") == F.col("fp")).select("fp", "first", "component"), "simhash-linked")
     least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "component").select("fp", "component_id")
-    named = cut(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "simhash-named")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(least, "component").select("fp", "component", "component_id")
+    return cut(classes.join(named, "fp", "left").select("fp", "times", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first").alias("component_id")), "simhash-named")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", long_run: int = LONG_RUN) -> DataFrame:
+    """Rows (doc_id, fp, component_id), one for each row of docs."""
+    own = cut(fingerprints(docs, text), "simhash", compact=True)
+    return join_hot(own, grouped(own, long_run), ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the rows whose doc_id isn't their component's id; repeated rows with that id stay once."""
-    kept = fresh(docs.columns, "_kept")
-    first = cut(near_duplicates(docs, text).where("doc_id = component_id").groupBy(F.col("doc_id").alias(kept)).count(), "simhash-kept")
-    whole = docs.join(first.hint("shuffle_hash"), docs["doc_id"] == first[kept], "left_semi")
-    return whole if first.where("count > 1").isEmpty() else whole.dropDuplicates(["doc_id"])
+    """docs with one row of each component: the least doc_id (null only where there is no other), of several rows with it one text's; rows that repeat id and text stay once."""
+    k = fresh(docs.columns, "_row")
+    keyed = docs.withColumn(k, F.xxhash64("doc_id", text))
+    own = fingerprints(keyed.select(F.struct("doc_id", F.col(k).alias("k")).alias("doc_id"), text), text)
+    own = cut(own.select("doc_id.doc_id", "doc_id.k", "fp"), "simhash", compact=True)
+    found = join_hot(own, grouped(own.select("doc_id", "fp")), ["fp"])
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("x"))
+    first = cut(first.select(F.col("x.k").alias(k)), "simhash-kept")
+    return keyed.join(first.hint("shuffle_hash"), k, "left_semi").dropDuplicates([k]).select(docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,9 @@ def test_embedding_cases(spark):
     alone = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 7)]
     assert got == [*alone, (20, 3, 20, True), (21, 3, 20, False), (22, 3, 20, False), (22, 3, 20, False), (23, 0, 23, True), (24, 0, 24, True), (25, 0, 25, True)]
     assert near_duplicates(vectors(spark, [])).count() == 0
+    hot = vectors(spark, [(i, [1.0, 0.5], 0) for i in range(3000)] + [(5000, [1.0, 0.51], 0)] + [(6000 + i, [float(i), -3.0], 1) for i in range(40)])
+    got = near_duplicates(hot, block=7).where("vec_id <= 5000").groupBy("n_links", "component_id").count().collect()
+    assert [tuple(r) for r in got] == [(3000, 0, 3001)]
     clash = vectors(spark, [(1, [1.0], 0, 5), (2, [1.0], 0, 5)], ", class long")
     assert {r.component_id for r in near_duplicates(clash).collect()} == {1}
 
@@ -78,7 +81,17 @@ def test_simhash_cases(spark, odd):
     assert got[4] == got[5] and {c for _, c in got[4]} == {4}
     assert near_duplicates(odd.limit(0)).count() == 0
     kept = keep_one(odd.withColumn("fp", F.lit(1)).withColumn("_kept", F.lit(2)))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 7]
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([(1, None), (4, LONG), (6, "one two"), (7, "Żółw 日本 😀 one two"), (-1, "x y z")], key=lambda r: r[0])
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    from graphloom.llm import near_dedup, simhash
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(3, a, "s"), (5, b, "s"), (5, a, "s"), (None, c, "s"), (8, None, "s"), (9, None, "s"), (9, None, "s")]
+    for module in (simhash, near_dedup):
+        got = sorted(((r.doc_id or -1, r.text) for r in module.keep_one(docs(spark, rows)).collect()), key=str)
+        assert got == sorted([(3, a), (5, b), (-1, c), (8, None)], key=str), module
 
 
 def test_simhash_long_runs_pass_through_the_second_index(spark):
