@@ -17,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op2_embedding_dedup": embedding_dedup.OP2_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_url_rules": url_rules.OP8_SQL,
     "op9_topk": topk.OP9_SQL,
