@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -57,13 +59,15 @@ BATCH_ROWS = 2000
 def ship(spark: SparkSession) -> None:
     """Make this package importable by Python workers, where PYTHONPATH doesn't already do so, and bound what they are handed at once."""
     sc = spark.sparkContext
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"  # this session's, for what runs later too: a bound on memory, not on results
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if getattr(sc, "_graphloom_shipped", False) or any(p and Path(p).resolve() == ROOT for p in known):
         return
-    target = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
+    folder = tempfile.mkdtemp(prefix="graphloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "graphloom.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted((ROOT / "graphloom").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))

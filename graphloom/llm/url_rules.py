@@ -1,8 +1,9 @@
 """URL filter: sorted digest array, memory-mapped and probed with a vectorised binary search.
 
 A rule is (verdict, host, path), written "host/path": it fits its host and all subdomains of
-it where the url's path starts with the rule's path. The longest fitting rule decides; where
-none fits, the verdict is `default`.
+it where the url's path starts with the rule's path. The longest fitting rule decides, of equally
+long ones that with the longer host; where none fits, the verdict is `default`. Two fitting rules
+of one host and one length are one rule, so this leaves no ties.
 
 `compile_rules` sorts the 64-bit XXH64 digests of all rule strings into one array and keeps
 the strings themselves behind it, so that a probe's hit is confirmed against the full string
@@ -13,19 +14,21 @@ Spark's file server (lost ones get it anew) and memory-map it: processes on a ma
 its pages.
 
 Size: the file grows with the rules, not with the urls. Up to MAX_INDEX_BYTES it is mapped;
-beyond that `judge` joins the candidates of each url with the rules instead, which gives the
-same rows at any number of rules.
+beyond that `judge` joins the candidates of each url with the rules instead, by the same order,
+which gives the same rows at any number of rules. The file is named by its content: judging again
+by the same rules ships nothing anew.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule, and
-the default verdict. Repeated rows are judged each for itself. Equal rule strings with
+the default verdict. Repeated rows are judged each for itself. Equal rules with
 different verdicts: block wins. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import struct
 import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -49,12 +52,12 @@ RULES = [
 ]
 
 
-def _merged(rules: Iterable[tuple[str, str, str]]) -> dict[str, tuple[str, str, str]]:
-    out: dict[str, tuple[str, str, str]] = {}
+def _merged(rules: Iterable[tuple[str, str, str]]) -> dict[tuple[str, str], tuple[str, str, str]]:
+    out: dict[tuple[str, str], tuple[str, str, str]] = {}
     for verdict, host, path in rules:
         if verdict not in ("allow", "block"):
             raise ValueError(f"verdict {verdict!r}")
-        key = host + path
+        key = (host, path)
         if key not in out or verdict == "block":
             out[key] = (verdict, host, path)
     return out
@@ -81,7 +84,7 @@ def compile_rules(rules: Iterable[tuple[str, str, str]]) -> bytes:
     for _, host, path in merged.values():
         lengths.setdefault(host, set()).add(len(path))
     hosts = _array([(h.encode(), np.array(sorted(n), np.uint32).tobytes()) for h, n in sorted(lengths.items())])
-    full = _array([(f"{len(h.encode())}:{k}".encode(), v.encode()) for k, (v, h, _) in sorted(merged.items())])
+    full = _array([(f"{len(h.encode())}:{h}{p}".encode(), v.encode()) for (h, p), (v, _, _) in sorted(merged.items())])
     hosts += b"\0" * (-len(hosts) % 8)  # so that the second array is aligned where it is mapped
     return struct.pack("<Q", len(hosts)) + hosts + full
 
@@ -129,21 +132,22 @@ class RuleIndex:
                 owner.append(i)
                 suffix.append(host)
                 host = host.partition(".")[2]
-        probes: list[tuple[int, str]] = []
+        probes: list[tuple[int, str, int]] = []
         keys: list[bytes] = []
         for k, value in self.hosts.probe([s.encode() for s in suffix]):
             i, host = owner[k], suffix[k]
             for n in np.frombuffer(value, np.uint32):
                 if len(paths[i]) >= n:
                     rule = host + paths[i][: int(n)]
-                    probes.append((i, rule))
+                    probes.append((i, rule, len(host)))
                     keys.append(f"{len(host.encode())}:{rule}".encode())
         rule: list[str | None] = [None] * len(hosts)
         verdict: list[str | None] = [None] * len(hosts)
+        best = [(-1, -1)] * len(hosts)
         for k, value in self.rules.probe(keys):
-            i, text = probes[k]
-            if rule[i] is None or len(text) > len(rule[i]) or len(text) == len(rule[i]) and value == b"block":
-                rule[i], verdict[i] = text, value.decode()
+            i, text, of_host = probes[k]
+            if (len(text), of_host) > best[i]:
+                best[i], rule[i], verdict[i] = (len(text), of_host), text, value.decode()
         return rule, verdict
 
 
@@ -190,11 +194,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
 
 
 def ship_file(spark: SparkSession, data: bytes) -> str:
-    """Hand a file to all executors, those that start later too; returns the name to ask SparkFiles for."""
-    name = f"rules-{uuid.uuid4().hex}.idx"
-    at = Path(tempfile.mkdtemp(prefix="graphloom-")) / name
-    at.write_bytes(data)
-    spark.sparkContext.addFile(str(at))
+    """Hand a file to all executors, those that start later too; returns the name to ask SparkFiles for. The driver's copy, which Spark's file server reads, goes at its exit."""
+    name = f"rules-{xxhash.xxh3_128_hexdigest(data)}.idx"
+    shipped = spark.sparkContext.__dict__.setdefault("_graphloom_files", set())
+    if name not in shipped:
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = Path(folder) / name
+        at.write_bytes(data)
+        spark.sparkContext.addFile(str(at))
+        shipped.add(name)
     return name
 
 
@@ -211,7 +220,7 @@ def judge_by_join(parts: DataFrame, rules: DataFrame, default: str = "allow") ->
     known = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
     fit = probes.join(known, "rule_host").where(F.expr("startswith(path, rule_path)"))
     text = F.concat("rule_host", "rule_path")
-    best = fit.groupBy("host", "path").agg(F.max(F.struct(F.char_length(text).alias("n"), F.col("rule_verdict"), text.alias("rule"))).alias("x"))
+    best = fit.groupBy("host", "path").agg(F.max(F.struct(F.char_length(text).alias("n"), F.char_length("rule_host").alias("of_host"), text.alias("rule"), F.col("rule_verdict"))).alias("x"))
     out = parts.join(best, ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.col("x.rule").alias("rule"), F.coalesce("x.rule_verdict", F.lit(default)).alias("verdict"))
 
