@@ -11,7 +11,8 @@ and levels of some shares: words in capitals, words with stripped ends, words wi
 distinct words among all, and the number of words.
 
 Fit: on at most MAX_ROWS labelled documents, those with the smallest hash of doc_id - a bound on
-the sample, so that fitting costs the same for any corpus; it happens on the driver with numpy,
+the sample, so that fitting costs the same for any corpus: a doc_id that stands on many rows sends
+one of its texts to the fit, as often as it has ratings. It happens on the driver with numpy,
 in a fixed order (reruns agree), by AdaGrad with an L1 step that leaves few weights nonzero.
 Scoring reads every document's whole text; the weights, 2**BITS floats, are a bounded broadcast.
 
@@ -169,16 +170,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model | Non
         own = Features()
         for b in batches:
             texts = b.column("_text")
-            places = [own.of(texts[i].as_py()).tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("grade"), pa.array(places, pa.binary())], ["id", "grade", "places"])
+            places = [np.sort(own.of(texts[i].as_py())).tobytes() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("grade"), b.column("times"), pa.array(places, pa.binary())], ["id", "grade", "times", "places"])
 
-    sample = ratings(labels).withColumnRenamed("doc_id", "_label")  # at most MAX_ROWS narrow rows
+    # at most MAX_ROWS narrow rows, so as many distinct (id, grade)
+    sample = ratings(labels).groupBy(F.col("doc_id").alias("_label"), "grade").agg(F.count(F.lit(1)).alias("times"))
     own = spread(docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text")))
-    rated = own.join(F.broadcast(sample), F.col("_id") == F.col("_label")).select("_id", "_text", "grade")
-    got = rated.mapInArrow(run, T.StructType([T.StructField("id", own.schema["_id"].dataType), T.StructField("grade", T.IntegerType()), T.StructField("places", T.BinaryType())])).collect()
+    rated = own.join(F.broadcast(sample), F.col("_id") == F.col("_label")).select("_id", "_text", "grade", "times")
+    places = rated.mapInArrow(run, T.StructType([T.StructField("id", own.schema["_id"].dataType), T.StructField("grade", T.IntegerType()), T.StructField("times", T.LongType()), T.StructField("places", T.BinaryType())]))
+    got = places.groupBy("id", "grade", "times").agg(F.min("places").alias("places")).collect()  # bounded by the sample, however often an id repeats
     if not got:
         return None
-    got.sort(key=lambda r: (r["id"], r["grade"], bytes(r["places"])))
+    got = sorted((r for r in got for _ in range(r["times"])), key=lambda r: (r["id"], r["grade"]))
     return fit([np.frombuffer(r["places"], np.int32) for r in got], np.array([r["grade"] for r in got]))
 
 
