@@ -5,13 +5,17 @@ products. Vectors are dealt to shards by hash of vec_id. A shard's KD-tree split
 of its widest dimension down to LEAF vectors and keeps tight bounding boxes; the score of a
 query q in a box is at most the sum of max(q_d * low_d, q_d * high_d). Per query the tree is
 walked best first: the open node with the highest bound next, until that bound is below the
-query's k-th score so far; equal bounds are still opened, as ties go to the smaller vec_id. The
-k-th score starts from a bounded seed sample that is scored when queries are packed, so every
-shard prunes with it from its first node. Shards' results merge by one ranking per query.
+query's k-th score so far; equal bounds are still opened, as ties go to the smaller vec_id.
+
+Two rounds propagate the k-th score between shards. In the first, each query meets one shard, its
+home by hash of its id; the k-th score found there, exact for that shard, goes with the query to
+all other shards, whose trees prune with it from the first node and return only what reaches it.
+Both rounds' results merge by one ranking per query.
 
 Exact: a box is passed over only if nothing in it can enter the result. Queries and vectors
-travel packed, about PACK vectors a row; a task holds one shard's tree and one block of queries.
-Each block of queries meets each shard: the work of a stated query set against all rows. Shards
+travel packed, about PACK vectors a row. A task holds one shard's tree and meets at most
+TASK_QUERIES queries: more are dealt to several tasks, each with the shard's vectors. Each query
+meets each shard: the work of a stated query set against all rows. Shards
 grow with the input up to MAX_SHARD vectors, which bounds how often queries are sent.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part;
@@ -39,7 +43,7 @@ EVERY = 20
 LEAF = 256
 PACK = 512
 MIN_SHARD, MAX_SHARD = 4096, 262_144
-SEEDS = 1024
+TASK_QUERIES = 16_384
 EXACT = 1 << 53
 LONG = (1 << 63) - 1
 LOWEST = -(1 << 63)
@@ -137,38 +141,31 @@ class KdTree:
                 yield i, ids, scores
 
 
-def _pack(scale: int, kind: int, seeds: dict[int, tuple[np.ndarray, np.ndarray]] | None, k: int):
-    """Vectors (vec_id, embedding, shard) packed by length and shard; with seeds, queries with their first k-th scores."""
+def _pack(scale: int, kind: int):
+    """Vectors (vec_id, embedding, shard, kth) packed by length and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[list[int], list[np.ndarray]]] = {}
+        held: dict[tuple[int, int], tuple[list[int], list[np.ndarray], list[int]]] = {}
 
         def row(key: tuple[int, int]) -> pa.RecordBatch:
-            ids, x = held.pop(key)
-            own, m = np.array(ids, np.int64), np.stack(x)
-            kth = np.full(len(own), LOWEST, np.int64)
-            if seeds is not None and key[0] in seeds:
-                seed_ids, seed = seeds[key[0]]
-                s = products(m, seed)
-                for i in range(len(own)):
-                    others = s[i][seed_ids != own[i]]
-                    if len(others) >= k:
-                        kth[i] = np.partition(others, len(others) - k)[len(others) - k]
+            ids, x, kth = held.pop(key)
+            packed = [np.array(ids, np.int64), np.stack(x), np.array(kth, np.int64)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[1]], pa.int32()), pa.array([kind], pa.int32()), pa.array([key[0]], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([kth.tobytes()], pa.binary())],
+                [pa.array([key[1]], pa.int32()), pa.array([kind], pa.int32()), pa.array([key[0]], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in packed]],
                 ["shard", "kind", "dim", "ids", "vectors", "kth"],
             )
 
         for b in batches:
-            shard = b.column("shard").to_pylist()
+            shard, kth = b.column("shard").to_pylist(), b.column("kth").to_pylist()
             for i, x in enumerate(rows_of(b.column("embedding"))):
                 if not finite(x) or not b.column("vec_id")[i].is_valid:
                     continue
                 key = (len(x), shard[i])
-                ids, xs = held.setdefault(key, ([], []))
-                ids.append(b.column("vec_id")[i].as_py())
-                xs.append(quantised(x, scale))
-                if len(ids) >= PACK:
+                own = held.setdefault(key, ([], [], []))
+                own[0].append(b.column("vec_id")[i].as_py())
+                own[1].append(quantised(x, scale))
+                own[2].append(kth[i])
+                if len(own[0]) >= PACK:
                     yield row(key)
         for key in list(held):
             yield row(key)
@@ -180,13 +177,13 @@ PACKED_ROW = "shard int, kind int, dim int, ids binary, vectors binary, kth bina
 
 
 def _search(k: int, leaf: int):
-    """Rows sorted by shard, length and kind: a shard's vectors, then the blocks of queries."""
+    """Rows sorted by task, length and kind: a shard's vectors, then the blocks of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, xs, tree = None, [], [], None
         for b in batches:
             for r in range(b.num_rows):
-                key = (b.column("shard")[r].as_py(), b.column("dim")[r].as_py())
+                key = (b.column("task")[r].as_py(), b.column("dim")[r].as_py())
                 if key != current:
                     current, ids, xs, tree = key, [], [], None
                 own = np.frombuffer(b.column("ids")[r].as_py(), np.int64)
@@ -210,27 +207,40 @@ def _search(k: int, leaf: int):
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, leaf: int = LEAF, min_shard: int = MIN_SHARD, max_shard: int = MAX_SHARD) -> DataFrame:
+def _meet(vectors: DataFrame, queries: DataFrame, shards: int, parts: int, k: int, leaf: int) -> DataFrame:
+    """Rows (query_id, vec_id, score): packed queries, each for one (shard, part), against the packed vectors of the shard, which go to all its parts."""
+    spread = vectors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = spread.unionByName(queries).withColumn("task", F.col("shard") * parts + F.col("part"))
+    met = met.repartitionById(shards * parts, "task").sortWithinPartitions("task", "dim", "kind").select("task", "kind", "dim", "ids", "vectors", "kth")
+    return met.mapInArrow(_search(k, leaf), "query_id long, vec_id long, score long")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, leaf: int = LEAF, min_shard: int = MIN_SHARD, max_shard: int = MAX_SHARD, task_queries: int = TASK_QUERIES) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): vectors (vec_id, embedding) that is_query names, against all."""
-    spark = vectors.sparkSession
-    ship(spark)
+    ship(vectors.sparkSession)
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
     n = own.count()
-    size = min(max_shard, max(min_shard, n // 64))
-    shards = max(1, -(-n // size))
-    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).collect()  # bounded: SEEDS rows
-    by: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for r in sample:
-        if None not in r["embedding"] and finite(x := np.array(r["embedding"], np.float64)):
-            by.setdefault(len(x), []).append((r["vec_id"], quantised(x, scale)))
-    seeds = {d: (np.array([i for i, _ in v], np.int64), np.stack([x for _, x in v])) for d, v in by.items()}
-    dealt = own.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    packed = dealt.repartitionById(shards, "shard").mapInArrow(_pack(scale, 0, None, k), PACKED_ROW)
-    asked = own.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("shard", F.lit(0))
-    blocks = cut(asked.mapInArrow(_pack(scale, 1, seeds, k), PACKED_ROW), "topk-queries")
-    sent = blocks.drop("shard").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "kind", "dim", "ids", "vectors", "kth")
-    met = packed.unionAll(sent).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "kind")
-    found = met.mapInArrow(_search(k, leaf), "query_id long, vec_id long, score long")
+    shards = max(1, -(-n // min(max_shard, max(min_shard, n // 64))))
+    none = F.lit(LOWEST + 1) - 1
+    home = lambda key: F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    packed = cut(own.select("vec_id", "embedding", home("vec_id").alias("shard"), none.alias("kth")).repartitionById(shards, "shard").mapInArrow(_pack(scale, 0), PACKED_ROW), "topk-vectors")
+    asked = cut(own.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "topk-queries")
+    m = asked.count()
+    # first round: as many parts as keep a task at task_queries; a query's part goes by another hash than its shard
+    pack_at = lambda rows, parts: rows.withColumn("shard", F.col("shard") * parts + F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)).cast("int")).mapInArrow(_pack(scale, 1), PACKED_ROW).withColumn("part", F.col("shard") % parts).withColumn("shard", F.expr(f"shard div {parts}").cast("int"))
+    parts = max(1, -(-m // (shards * task_queries)))
+    first = cut(_meet(packed, pack_at(asked.select("vec_id", "embedding", home("vec_id").alias("shard"), none.alias("kth")), parts), shards, parts, k, leaf), "topk-found")
+    if shards == 1:
+        found = first
+    else:
+        reached = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        kth = F.when(F.col("n") >= k, F.col("least")).otherwise(none).alias("kth")
+        known = asked.join(reached, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "embedding", kth)
+        parts = max(1, -(-m // task_queries))
+        # packed by home, so that a block goes to all shards but one
+        blocks = cut(pack_at(known.withColumn("shard", home("vec_id")).select("vec_id", "embedding", "shard", "kth"), parts), "topk-blocks")
+        sent = blocks.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("to <> shard").drop("shard").withColumnRenamed("to", "shard")
+        found = first.unionAll(_meet(packed, sent, shards, parts, k, leaf))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
