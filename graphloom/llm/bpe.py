@@ -9,11 +9,12 @@ side by side is the merge procedure's own result, so each prefix of the input ha
 hypothesis at the root. Determinisation is the subset construction with pending outputs: a
 state is the tuple of live hypotheses, what all of them have pending is emitted, and at the
 end of the input the root's pending tokens are. States and edges are made when first met and
-thrown away together past MAX_STATES. No token waits longer than the vocabulary's longest
+thrown away together past MAX_STATES, within a piece too: the current state is carried over. No token waits longer than the vocabulary's longest
 token, since a hypothesis lives no longer: that is the bounded lookahead.
 
 A piece that is a token as a whole is that token, as in the reference tokeniser libraries.
-Pieces are cut by the tokenizer's pattern; a memo of recent pieces, bounded, spares reruns.
+Pieces are cut by the tokenizer's pattern; a memo of recent pieces spares reruns. It has two
+generations of at most MEMO pieces and MEMO_BYTES each; a piece longer than LONG_PIECE isn't kept.
 
 Decoding streams: token bytes pass an incremental UTF-8 state machine that hands out text up
 to the last whole character and keeps at most three bytes.
@@ -21,7 +22,8 @@ to the last whole character and keeps at most three bytes.
 Defined results: null text is empty text (0 tokens); any valid text round-trips byte for byte;
 special tokens are ordinary text; ids that aren't in the vocabulary raise an error; repeated
 rows are encoded each; extra columns pass through `encode`; an empty table gives no rows.
-Memory per worker: the trie, MAX_STATES states, MEMO pieces, one Arrow batch.
+Memory per worker: the trie, MAX_STATES states and their edges, 2 * MEMO_BYTES of pieces, one Arrow
+batch.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ from graphloom.llm.common import enter, fresh, on_leave, read, ship, spread
 
 MAX_STATES = 400_000
 MEMO = 300_000
+MEMO_BYTES = 128 << 20
+LONG_PIECE = 1024
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -96,6 +100,17 @@ class Transducer:
         self.final = array("I", [0])
         self.number: dict[bytes, int] = {start: 0}
 
+    def _restart(self, state: int) -> int:
+        """Forget all states but this one; returns its new number."""
+        packed, pending = self.states[state], self.outputs[self.final[state]]
+        self._reset()
+        if packed in self.number:
+            return self.number[packed]
+        self.number[packed] = 1
+        self.states.append(packed)
+        self.final.append(self._output(pending))
+        return 1
+
     def _output(self, out: tuple[int, ...]) -> int:
         n = self.output_number.get(out)
         if n is None:
@@ -208,12 +223,13 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > self.max_states or len(self.outputs) > 1 << 22:
-            self._reset()
         state, out, edges, outputs = 0, [], self.edges, self.outputs
         for b in piece:
             edge = edges.get(state << 8 | b)
             if edge is None:
+                if len(self.states) > self.max_states or len(outputs) > 1 << 22:
+                    state = self._restart(state)
+                    edges, outputs = self.edges, self.outputs
                 edge = self._grow(state << 8 | b)
             state = edge >> 24
             if edge & 0xFFFFFF:
@@ -267,7 +283,7 @@ class Utf8Stream:
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, memo: int = MEMO):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, memo: int = MEMO, memo_bytes: int = MEMO_BYTES):
         self.fst = Transducer(ranks, max_states)
         # the pattern's white space is Unicode's White_Space property
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
@@ -280,15 +296,21 @@ class Codec:
         class Memo(dict):
             """Two generations: a full one becomes the older, from which pieces still in use come back."""
 
+            held = 0
+
             def __missing__(self, piece: str) -> tuple[int, ...]:
                 nonlocal older
                 ids = older.get(piece)
                 if ids is None:
                     ids = encode(piece.encode())
-                if len(self) >= memo:
+                if len(piece) > LONG_PIECE:
+                    return ids
+                if len(self) >= memo or self.held >= memo_bytes:
                     older = dict(self)
                     self.clear()
+                    self.held = 0
                 self[piece] = ids
+                self.held += 4 * len(piece) + 36 * len(ids) + 200  # at most: text, ids, their tuple, the entry
                 return ids
 
         self.memo = Memo()
