@@ -180,6 +180,22 @@ def test_substring_rows_with_the_same_id(spark):
     assert got == [(1, 20, 0), (2, 20, 0), (2, 20, 20), (2, 22, 20), (3, 40, 40)]
 
 
+def test_substring_windows_with_colliding_hashes(monkeypatch):
+    """Where the first hash says nothing, the bucket still tells windows apart; every window travels once or goes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm import substring_dedup as sd
+
+    true = sd.window_hashes
+    monkeypatch.setattr(sd, "window_hashes", lambda w, width, base=sd.BASES[0]: np.zeros(max(len(w) - width + 1, 0), np.uint64) if base == sd.BASES[0] else true(w, width, base))
+    a, b = " ".join(f"a{i}" for i in range(14)), " ".join(f"b{i}" for i in range(15))
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 1, 2]), pa.array([a, a, b])], ["doc_id", "text"])
+    out = [r for x in sd._windows(13, 17, False)(iter([batch])) for r in x.to_pylist()]
+    kept = sorted(d for r in out if r["kind"] == 0 for d in r["docs"])
+    assert kept == [1, 1, 2, 2, 2] and [(r["docs"], r["hashes"]) for r in out if r["kind"] == 1] == [([3], [14])]
+
+
 # ---- mixing
 
 
@@ -223,6 +239,17 @@ def test_quality_cases(spark, odd):
     assert [tuple(r) for r in score(odd, some).orderBy("doc_id").collect()] == [tuple(r) for r in score(odd.repartition(5), some).orderBy("doc_id").collect()]
 
 
+def test_a_repeated_id_is_one_rating_a_label(spark):
+    """A doc_id on many rows sends the fit one text for each label."""
+    from graphloom.llm import quality
+
+    many = docs(spark, [(1, "good words here", "a")] * 500 + [(2, "BAD words !!", "a"), (3, "other good words", "a")])
+    once = docs(spark, [(1, "good words here", "a"), (2, "BAD words !!", "a"), (3, "other good words", "a")])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    a, b = quality.train(many, labels), quality.train(once, labels)
+    assert (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all()
+
+
 def test_cumulative_link_probabilities():
     import numpy as np
 
@@ -260,6 +287,17 @@ def test_url_cases(spark):
     assert judge_by_join and url_parts
 
 
+def test_url_rules_of_one_length(spark):
+    """Of fitting rules of one length that with the longer host decides, in the file and in the join."""
+    from graphloom.llm.url_rules import judge
+
+    rules = [("block", "b.com", "/"), ("allow", "com", "/ab"), ("allow", "x.b.com", "/a"), ("block", "b.com", "/abc"), ("allow", "b.com", "/abc")]
+    df = spark.createDataFrame([(1, "http://b.com/abx"), (2, "http://b.com/abc"), (3, "http://x.b.com/abc"), (4, "http://q.com/abc")], "page_id long, url string")
+    for limit in (1 << 20, 0):
+        got = sorted((r.page_id, r.rule, r.verdict) for r in judge(df, rules, max_index_bytes=limit).collect())
+        assert got == [(1, "b.com/", "block"), (2, "b.com/abc", "block"), (3, "x.b.com/a", "allow"), (4, "com/ab", "allow")], limit
+
+
 def test_digest_collisions_are_confirmed_by_the_string(monkeypatch):
     import numpy as np
 
@@ -329,6 +367,13 @@ def test_transducer_against_the_library():
     for _ in range(3000):
         a, b = rng.choice(tokens), rng.choice(tokens)
         assert own.fst.may_follow(a, b) == (merge(own.bytes[a] + own.bytes[b], ranks) == [a, b])
+    tight = Codec(ranks, P.PATTERN, max_states=50, memo=100_000, memo_bytes=5_000)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    assert tight.encode(word) == own.encode(word) == ref.encode_ordinary(word) and len(tight.fst.states) <= 52
+    for _ in range(300):
+        x = "".join(rng.choice(bits) for _ in range(40))
+        assert tight.encode(x) == ref.encode_ordinary(x)
+    assert word not in tight.memo and tight.memo.held <= 5_000 + 20_000
     long = "ab" * 40_000 + "=" * 30_000
     assert own.encode(long) == ref.encode_ordinary(long)
 

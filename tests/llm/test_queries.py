@@ -152,8 +152,10 @@ def test_topk_prunes_and_agrees(spark):
     rows = [(i, np.round(rng.normal(size=6), 1).tolist()) for i in range(3000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in search(df, F.col("vec_id") % 100 == 0, k=7, leaf=16, min_shard=700).collect():
+    for r in search(df, F.col("vec_id") % 100 == 0, k=7, leaf=16, min_shard=700, task_queries=4).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    alone = search(df, F.col("vec_id") % 100 == 0, k=7).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in alone) == sorted((q, *x) for q, xs in got.items() for x in xs)
     q = np.floor(np.array([r[1] for r in rows]) * 64).astype(int)
     for i in range(0, 3000, 100):
         s = q @ q[i]
@@ -161,6 +163,75 @@ def test_topk_prunes_and_agrees(spark):
         assert sorted(got[i]) == [(n + 1, j, int(s[j])) for n, j in enumerate(order)]
 
 
+def slow_features(text):
+    """The classifier's features, from its docstring."""
+    import math
+
+    words = (text or "").split()
+    distinct, found = set(words), set()
+    caps = ends = marks = 0
+    for w in distinct:
+        core = re.sub(r"^[\W_]+", "", w)
+        end = re.search(r"[\W_]*$", core)[0]
+        core = core[: len(core) - len(end)] if end else core
+        if not core:
+            end = ""
+        found.add(core.lower())
+        if len(end) > 1:
+            found.add("\x00end" + end)
+            ends += 1
+        caps += len(core) > 1 and core.isupper()
+        marks += not core
+    n = max(len(distinct), 1)
+    shares = {"capitals": caps / n, "ends": ends / n, "marks": marks / n, "distinct": math.log2(1 + len(distinct)) / math.log2(2 + len(words)), "words": math.log2(1 + len(words)) / 16}
+    return {xxhash.xxh64_intdigest(f) % 2**18 for f in found | {f"\x00{k}{round(v * 8)}" for k, v in shares.items()}}
+
+
+def test_quality_against_brute_force(spark, sf_dir):
+    """Every row of the registered query: expected grade and tail probability from the fitted weights, word by word."""
+    import math
+
+    from graphloom.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op7_quality"](spark, sf_dir).collect()}
+    assert len(got) == docs.count() and len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    for i, text in documents(spark, sf_dir).items():
+        score = math.fsum(float(model.weights[p]) for p in slow_features(text))
+        tails = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert got[i].expected_grade == pytest.approx(sum(tails), abs=2e-6) and got[i].tail_probability == pytest.approx(tails[1], abs=2e-6), i
+        assert got[i].kept == (got[i].tail_probability >= 0.5) or abs(tails[1] - 0.5) < 1e-5
+
+
+def test_cumulative_link_fit_reaches_the_maximum():
+    """Grades drawn from a known model: the fit's probabilities come near those of plain gradient ascent on the same likelihood."""
+    from graphloom.llm.quality import fit
+
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, 4)) < 0.5
+    true = x @ np.array([2.0, -1.5, 1.0, 0.0])
+    p1, p2 = 1 / (1 + np.exp(-(true + 0.5))), 1 / (1 + np.exp(-(true - 1.0)))
+    u = rng.random(3000)
+    grades = (u < p1).astype(int) + (u < p2)
+    m = fit([np.nonzero(r)[0].astype(np.int32) for r in x], grades, epochs=60, l1=0.0)
+    own = m.tails(np.array([m.weights[np.nonzero(r)[0]].sum() for r in x], float))
+    w, t = np.zeros(4), np.array([-0.1, 0.1])
+
+    def likelihood(w, t):
+        e = 1 / (1 + np.exp(-((x @ w)[:, None] - t)))
+        e = np.concatenate([np.ones((3000, 1)), e, np.zeros((3000, 1))], axis=1)
+        return np.log(np.maximum(e[np.arange(3000), grades] - e[np.arange(3000), grades + 1], 1e-12)).mean()
+
+    for _ in range(400):  # numeric gradients: independent of the code under test
+        v = np.concatenate([w, t])
+        g = np.array([(likelihood(*np.split(v + d, [4])) - likelihood(*np.split(v - d, [4]))) / 2e-5 for d in np.eye(6) * 1e-5])
+        w, t = np.split(v + 2.0 * g, [4])
+    best = 1 / (1 + np.exp(-((x @ w)[:, None] - t)))
+    assert np.abs(own - best).max() < 0.05
+    assert likelihood(m.weights[:4].astype(float), m.thresholds) > likelihood(w, t) - 0.003
+
+
 def test_quality_on_held_out_labels(spark):
     """Fitted on documents whose id is not a multiple of four, judged on the others."""
     from pyspark.sql import functions as F
