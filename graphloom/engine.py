@@ -2,61 +2,172 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.durable import cut
+from graphloom.durable import cut, publish, published
 from graphloom.functions.text import count_lines, file_name, lines_of
-from graphloom.operators import chunks as ch, export, filters, graph, maintain, models, stats
+from graphloom.operators import chunks as ch, export, filters, graph, lexical, maintain, models, stats
 from graphloom.plans import retrieve
-from graphloom.sources import parse
+from graphloom.sources import coverage, ignore, parse
 from graphloom.sources.corpus import scan_files
 
 TABLES = ("files", "symbols", "occurrences", "edges", "chunks")
 
 
+#: Hears of the steps of a long build.
+Progress = Callable[[str], object]
+
+
+def _parsed(scanned: DataFrame, include_tests: bool) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables files, symbols and occurrences of scanned files, each parsed once, and the ids (file_id) of those that can't be."""
+    language = F.when(F.endswith("rel_path", F.lit(".rs")), "rust").otherwise("python")
+    files = scanned.select(F.xxhash64("rel_path").alias("id"), "rel_path", language.alias("language"), F.lit("scanner").alias("backend"), F.col("bytes").alias("size_bytes"), "mtime_ms", "content_hash", "content", F.lit("Success").alias("parse_status"))
+    rows = cut(parse.parse_files(scanned), "parsed")
+    symbols, occurrences = parse.tables(rows, files)
+    if not include_tests:
+        tests = symbols.where("kind = 'Test'").select(F.col("id").alias("enclosing_symbol_id"))
+        symbols, occurrences = symbols.where("kind <> 'Test'"), occurrences.join(tests, "enclosing_symbol_id", "left_anti")
+    return {"files": files, "symbols": symbols, "occurrences": occurrences}, rows.where("row = 'failed'").select(F.xxhash64("rel_path").alias("file_id")).distinct()
+
+
+def _with_parents(symbols: DataFrame, contains: DataFrame) -> DataFrame:
+    return symbols.join(contains.select(F.col("child_id").alias("id"), F.col("parent_id").alias("parent_symbol_id")), "id", "left")
+
+
 @dataclass
 class Engine:
     spark: SparkSession
     tables: dict[str, DataFrame]
     root: str | None = None
+    path: str | None = None  # the version's folder, of a saved index
+    include_tests: bool = False
 
     # -- building
 
     @classmethod
-    def build(cls, spark: SparkSession, root: str, include_tests: bool = False, max_bytes: int = 524_288) -> Engine:
-        """Scan, parse, resolve, nest, measure and chunk the source files under root."""
+    def build(cls, spark: SparkSession, root: str, include_tests: bool = False, max_bytes: int = 524_288, progress: Progress | None = None) -> Engine:
+        """Scan, parse, resolve, nest, measure and chunk the source files under root. progress hears of each step."""
+        say = progress or (lambda _: None)
+        say("scan")
         scanned = filters.indexable(scan_files(spark, root, max_bytes))
-        files = scanned.select(F.xxhash64("rel_path").alias("id"), "rel_path", F.when(F.endswith("rel_path", F.lit(".rs")), "rust").otherwise("python").alias("language"), F.col("bytes").alias("size_bytes"), "mtime_ms", "content_hash", "content")
-        parsed = cut(parse.parse_files(scanned), "parsed")  # every file is parsed once for all tables
-        symbols, occurrences = parse.tables(parsed, files)
-        if not include_tests:
-            tests = symbols.where("kind = 'Test'").select(F.col("id").alias("enclosing_symbol_id"))
-            symbols, occurrences = symbols.where("kind <> 'Test'"), occurrences.join(tests, "enclosing_symbol_id", "left_anti")
-        contains = graph.contains_edges(symbols)
-        symbols = symbols.join(contains.select(F.col("child_id").alias("id"), F.col("parent_id").alias("parent_symbol_id")), "id", "left")
-        calls = graph.resolve_names(occurrences, symbols).withColumn("id", F.xxhash64(F.lit("Call"), "occurrence_id"))
-        nested = contains.select(F.xxhash64(F.lit("Contains"), "child_id").alias("id"), F.lit(None).cast("long").alias("occurrence_id"), F.lit("Contains").alias("kind"), F.col("parent_id").alias("from_symbol_id"), F.col("child_id").alias("to_symbol_id"), F.lit(None).cast("string").alias("raw_text"), F.lit("Syntax").alias("confidence"))
-        edges = calls.unionByName(nested)
-        return cls(spark, {"files": files, "symbols": symbols, "occurrences": occurrences, "edges": edges, "chunks": ch.build(symbols, contains, occurrences, files)}, root)
-
-    def save(self, path: str) -> Engine:
-        """Write every table; returns an engine over the written ones."""
+        say("parse")
+        tables, failed = _parsed(scanned, include_tests)
+        bad = tables["files"].join(failed.select(F.col("file_id").alias("id"), F.lit(True).alias("bad")), "id", "left")
+        files = bad.withColumn("parse_status", F.when(F.col("bad"), "Failed").otherwise(F.col("parse_status"))).drop("bad")
+        say("resolve")
+        contains = graph.contains_edges(tables["symbols"])
+        symbols = _with_parents(tables["symbols"], contains)
+        edges = graph.call_edges(tables["occurrences"], symbols).unionByName(graph.nested_edges(contains))
+        say("chunk")
+        made = {"files": files, "symbols": symbols, "occurrences": tables["occurrences"], "edges": edges, "chunks": ch.build(symbols, contains, tables["occurrences"], files)}
+        return cls(spark, made, root, include_tests=include_tests)
+
+    def save(self, path: str, metadata: dict[str, str] | None = None) -> Engine:
+        """Write every table, and the chunks' lexical index, as a new version under path; returns an engine over what is written. Earlier versions stay until `clean`."""
+        known = published(self.spark, path)
+        n = known[-1][0] + 1 if known else 0
+        folder = f"v{n}-{uuid.uuid4().hex[:12]}"
         for t in TABLES:
-            self.tables[t].write.mode("overwrite").parquet(f"{path}/{t}")
+            self.tables[t].write.parquet(f"{path}/{folder}/{t}")
+        lexical.build(self.spark.read.parquet(f"{path}/{folder}/chunks").select("id", "text", "qualified_name"), "id", ["text", "qualified_name"], f"{path}/{folder}/lexical")
+        maintain.write_metadata(self.spark, f"{path}/{folder}", maintain.VERSIONS | {"include_tests": str(self.include_tests).lower()} | (metadata or {}))
+        publish(self.spark, path, n, folder)
         return Engine.load(self.spark, path, self.root)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, root: str | None = None) -> Engine:
-        return cls(spark, {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}, root)
+        """The latest whole version under path; what is there is asked, not built."""
+        known = published(spark, path)
+        if not known:
+            raise FileNotFoundError(f"no index under {path}")
+        at = f"{path}/{known[-1][1]}"
+        stored = dict(maintain.read_metadata(spark, at))
+        return cls(spark, {t: spark.read.parquet(f"{at}/{t}") for t in TABLES}, root, at, stored.get("include_tests") == "true")
 
-    def state(self) -> DataFrame:
-        """Whether the files under root still are those of the index."""
-        disk = filters.indexable(scan_files(self.spark, self.root)).select(F.col("rel_path").alias("path"), "mtime_ms", F.col("bytes").alias("size_bytes"), "content_hash")
-        index = self.tables["files"].select(F.col("rel_path").alias("path"), "mtime_ms", "size_bytes", "content_hash", F.lit("Success").alias("parse_status"))
-        none = self.spark.range(1).select(F.lit(None).cast("string").alias("reason"))
-        return maintain.index_state(maintain.diff(disk, index, by_hash=True), none)
+    @classmethod
+    def ensure_fresh(cls, spark: SparkSession, root: str, path: str, include_tests: bool = False, progress: Progress | None = None) -> Engine:
+        """The index under path, up with the files under root: built where there is none or its versions differ, updated where files changed, else as it is."""
+        say = progress or (lambda _: None)
+        if not published(spark, path):
+            return cls.build(spark, root, include_tests, progress=progress).save(path)
+        own = cls.load(spark, path, root)
+        state = own.state(include_tests).first()
+        say(state["state"])
+        if state["state"] == "NeedsFullRebuild":
+            return cls.build(spark, root, include_tests, progress=progress).save(path)
+        return own.update().save(path) if state["state"] == "NeedsIncrementalUpdate" else own
+
+    @classmethod
+    def load_or_build(cls, spark: SparkSession, root: str, path: str, include_tests: bool = False) -> Engine:
+        """The index under path as it is; built where there is none."""
+        return cls.load(spark, path, root) if published(spark, path) else cls.build(spark, root, include_tests).save(path)
+
+    def _changes(self) -> tuple[DataFrame, DataFrame]:
+        scanned = filters.indexable(scan_files(self.spark, self.root))
+        disk = scanned.select(F.col("rel_path").alias("path"), "mtime_ms", F.col("bytes").alias("size_bytes"), "content_hash")
+        index = self.tables["files"].select(F.col("rel_path").alias("path"), "mtime_ms", "size_bytes", "content_hash", "parse_status")
+        return scanned, maintain.diff(disk, index, by_hash=True)
+
+    def state(self, include_tests: bool | None = None) -> DataFrame:
+        """Whether the files under root still are those of the index, and its versions those of this library."""
+        wanted = maintain.VERSIONS
+        stored = maintain.read_metadata(self.spark, self.path) if self.path else sorted(wanted.items())
+        reason = maintain.rebuild_reason(self.spark.createDataFrame(stored, "key string, value string"), wanted)
+        if include_tests is not None and include_tests != self.include_tests:
+            reason = reason.select(F.coalesce("reason", F.lit("IndexerVersionChanged")).alias("reason"))
+        return maintain.index_state(self._changes()[1], reason)
+
+    def update(self) -> Engine:
+        """The index after the changes on disk: changed files are parsed, calls that the change can touch are resolved, chunks of changed files made anew. Files that can't be parsed keep their old graph and are tried again."""
+        scanned, changes = self._changes()
+        changes = cut(changes.where("status <> 'unchanged'"), "changes")
+        some = scanned.join(changes.where("status <> 'deleted'").select(F.col("path").alias("rel_path")), "rel_path", "left_semi")
+        parsed, failed = _parsed(some, self.include_tests)
+        failed = cut(failed, "failed")
+        changed = changes.select(F.xxhash64("path").alias("file_id"))
+        new_failed = failed.join(self.tables["files"].select(F.col("id").alias("file_id")), "file_id", "left_anti")
+        parsed["files"] = parsed["files"].join(new_failed.select(F.col("file_id").alias("id"), F.lit(True).alias("bad")), "id", "left").withColumn("parse_status", F.when(F.col("bad"), "Failed").otherwise(F.col("parse_status"))).drop("bad")
+        old_failed = failed.join(new_failed, "file_id", "left_anti")
+        merged = {t: cut(df, t) for t, df in maintain.merge(self.tables, parsed, changed, old_failed).items() if t != "chunks"}
+        fresh = changed.join(old_failed, "file_id", "left_anti")
+        contains = merged["edges"].where("kind = 'Contains'").select(F.col("from_symbol_id").alias("parent_id"), F.col("to_symbol_id").alias("child_id"))
+        own = merged["symbols"].join(fresh, "file_id", "left_semi")
+        made = ch.build(own, contains.join(own.select(F.col("id").alias("child_id")), "child_id", "left_semi"), merged["occurrences"].join(fresh, "file_id", "left_semi"), merged["files"].join(fresh.select(F.col("file_id").alias("id")), "id", "left_semi"))
+        chunks = self.tables["chunks"].join(fresh, "file_id", "left_anti").unionByName(made, allowMissingColumns=True)
+        return Engine(self.spark, merged | {"chunks": chunks}, self.root, None, self.include_tests)
+
+    def build_search(self, embedder=None, fingerprint: str = "", force: bool = False) -> tuple[list[str], list[str]]:
+        """Build what the saved index lacks for searching: (parts built, warnings). A part that fails is a warning, and the index stays as it was for it.
+
+        Vectors are made where a model is given and its fingerprint isn't the stored one, or with force, which clears both first."""
+        if not self.path:
+            raise ValueError("save the index first")
+        stored = dict(maintain.read_metadata(self.spark, self.path))
+        chunks = self.tables["chunks"]
+        embedded = None if embedder is None else int(stored.get("embedded", "0"))
+        parts = ["lexical"] + (["dense"] if embedder else []) if force else maintain.needs_search_build(self.tables["symbols"].count(), n := chunks.count(), lexical.count(self.spark, f"{self.path}/lexical"), embedded, fingerprint, stored.get("model"))
+        done, warnings = [], []
+        for part in parts:
+            try:
+                if part == "lexical":
+                    lexical.build(chunks.select("id", "text", "qualified_name"), "id", ["text", "qualified_name"], f"{self.path}/lexical")
+                elif part == "dense":
+                    vectors = models.embed(ch.embeddable(chunks).withColumnRenamed("id", "chunk_id"), "chunk_id", "text", embedder)
+                    folder = f"vectors-{uuid.uuid4().hex[:12]}"
+                    vectors.write.parquet(f"{self.path}/{folder}")
+                    maintain.write_metadata(self.spark, self.path, {"model": fingerprint, "vectors": folder, "embedded": str(self.spark.read.parquet(f"{self.path}/{folder}").count())})
+                done.append(part)
+            except Exception as e:  # the index serves without it
+                warnings.append(f"{part}: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
+        return done, warnings
+
+    def clear(self, language: str, backend: str | None = None) -> Engine:
+        """The index without a language's files."""
+        return Engine(self.spark, maintain.clear(self.tables, language, backend), self.root, None, self.include_tests)
 
     def invariants(self) -> DataFrame:
         t = self.tables
@@ -98,9 +209,28 @@ class Engine:
         t = self.tables
         vectors = vector = None
         if strategy in ("dense", "hybrid"):
-            vectors = models.embed(ch.embeddable(t["chunks"]).withColumnRenamed("id", "chunk_id"), "chunk_id", "text", embedder)
+            vectors = self._vectors(embedder)
             vector = [float(x) for x in embedder()([query])[0]]
-        return retrieve.retrieve(strategy, query, t["edges"], self.snippets(), t["files"], t["chunks"], vectors, vector, options)
+        words = None
+        if self.path and strategy not in ("graph", "dense") and lexical.segments(self.spark, f"{self.path}/lexical"):
+            words = lexical.search(self.spark, f"{self.path}/lexical", query, 50, "doc")
+        return retrieve.retrieve(strategy, query, t["edges"], self.snippets(), t["files"], t["chunks"], vectors, vector, options, words)
+
+    def _vectors(self, embedder) -> DataFrame:
+        """The chunks' stored vectors, or new ones where none are stored."""
+        folder = dict(maintain.read_metadata(self.spark, self.path)).get("vectors") if self.path else None
+        if folder:
+            return self.spark.read.parquet(f"{self.path}/{folder}")
+        return models.embed(ch.embeddable(self.tables["chunks"]).withColumnRenamed("id", "chunk_id"), "chunk_id", "text", embedder)
+
+    def around(self, symbol_id: int, mode: str = "neighborhood", max_depth: int = 2, max_nodes: int = 200, max_files: int = 50) -> DataFrame:
+        """One row (markdown, json, yaml): the graph around a symbol."""
+        t = self.tables
+        found = graph.graph_context(t["edges"], t["symbols"], symbol_id, mode, max_depth, max_nodes)
+        return export.graph_documents(found, t["symbols"], t["files"], symbol_id, mode, max_depth, max_nodes, max_files)
+
+    def slice_tree(self, symbol_id: int, max_depth: int = 10, max_lines: int = 100) -> DataFrame:
+        return graph.slice_tree(self.tables["edges"], self.tables["symbols"], symbol_id, max_depth, max_lines)
 
     def read_file(self, path: str, start: int = 1, end: int | None = None, most: int = 500) -> DataFrame:
         """Lines of one indexed file; paths that leave the root give no rows."""
@@ -109,9 +239,18 @@ class Engine:
 
     # -- the project as a whole
 
-    def project(self, mode: str = "smart", max_depth: int | None = None, max_bytes: int = 524_288) -> DataFrame:
-        """Every entry under root with the reason if it is hidden, and its counts."""
-        scanned = scan_files(self.spark, self.root, max_bytes).select(F.col("rel_path").alias("path"), "bytes", "content")
+    def project(self, mode: str = "smart", max_depth: int | None = None, max_bytes: int = 524_288, respect_ignore: bool = True, exclude: tuple[str, ...] = (), global_ignore: str = "") -> DataFrame:
+        """Every entry under root with the reason if it is hidden, and its counts.
+
+        Files that ignore files name aren't there, nor what `exclude` names; global_ignore is the
+        text of the user's own ignore file, and .git/info/exclude is read where there is one."""
+        found = scan_files(self.spark, self.root, max_bytes)
+        if respect_ignore:
+            excluded = [r for _, text in ignore.read_hidden(self.spark, f"{self.root.rstrip('/')}/.git/info/exclude") for r in ignore.parse(text)]
+            found = ignore.without_ignored(found, "rel_path", ignore.rules_of(found, self.root), list(exclude), excluded, ignore.parse(global_ignore))
+        elif exclude:
+            found = ignore.without_ignored(found, "rel_path", [], list(exclude))
+        scanned = found.select(F.col("rel_path").alias("path"), "bytes", "content")
         counted = stats.file_stats(scanned.select("path", "content"), max_bytes).drop("bytes")
         return filters.scan(scanned.select("path", "bytes"), mode, max_depth).join(counted, "path", "left")
 
@@ -127,6 +266,11 @@ class Engine:
         content = scan_files(self.spark, self.root).where("content is not null").select(F.col("rel_path").alias("path"), "content").join(visible, "path", "left_semi")
         return {"markdown": export.markdown, "xml": export.xml, "plain": export.plain}[how](content)
 
+    def coverage(self) -> DataFrame:
+        """(path, covered, coverable) from the reports under root."""
+        reports = coverage.discover(scan_files(self.spark, self.root, 1 << 30)).where("content is not null")
+        return coverage.of_reports(reports)
+
     def metrics(self) -> DataFrame:
         """Fan-in, fan-out, coupling and cohesion by symbol."""
         t = self.tables
@@ -139,12 +283,10 @@ class Engine:
 
     def info(self) -> DataFrame:
         """Counts of tables, languages and confidences in one list."""
-        t, out = self.tables, None
-        for name in TABLES:
-            one = t[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit("table").alias("what"), F.lit(name).alias("name"), "n")
-            out = one if out is None else out.unionAll(one)
-        count = lambda df, what, c: df.groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "name", "n")
-        return out.unionAll(count(t["files"], "language", "language")).unionAll(count(t["edges"], "confidence", "confidence"))
+        t = self.tables
+        out = stats.table_counts({name: t[name] for name in TABLES}).select(F.lit("table").alias("what"), "name", "n")
+        of = lambda df, what: stats.counts_by(df, what).select(F.lit(what).alias("what"), F.col(what).alias("name"), "n")
+        return out.unionAll(of(t["files"], "language")).unionAll(of(t["edges"], "confidence"))
 
     def file_names(self) -> DataFrame:
         return self.tables["files"].select(file_name(F.col("rel_path")).alias("name"), "rel_path")

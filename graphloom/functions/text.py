@@ -149,3 +149,8 @@ def signature(lines: Column, start: Column) -> Column:
     """At most three lines from a symbol's first, up to the body's brace or the closing mark."""
     joined = F.array_join(F.transform(F.slice(lines, start.cast("int"), 3), lambda x: F.trim(x)), " ")
     return F.trim(F.regexp_extract(joined, r"^([^{;]*)", 1))
+
+
+def percent_decode(text: Column) -> Column:
+    """%XX as UTF-8; a plus sign is itself."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from graphloom.functions.text import chunk_tokens, large_body, line_window, lines_of
 
@@ -66,3 +66,9 @@ def read_lines(lines: Column, start: Column, end: Column, most: int) -> Column:
     first = F.least(F.greatest(start, F.lit(1)), n)
     last = F.least(F.greatest(F.least(F.coalesce(end, n), n), first), first + most - 1)
     return F.when(n == 0, "").otherwise(F.array_join(F.slice(lines, first.cast("int"), (last - first + 1).cast("int")), "\n"))
+
+
+def children(chunks: DataFrame, limit: int = 5) -> DataFrame:
+    """(parent_chunk_id, id, n): each parent's first children by line."""
+    n = F.row_number().over(W.partitionBy("parent_chunk_id").orderBy("start_line", "id"))
+    return chunks.where("parent_chunk_id is not null").select("parent_chunk_id", "id", n.alias("n")).where(F.col("n") <= limit)

@@ -90,3 +90,13 @@ def indexable(files: DataFrame, path: str = "rel_path") -> DataFrame:
 def safe_path(path: Column) -> Column:
     """Whether a relative path stays below its root."""
     return ~F.array_contains(F.split(path, "/"), "..") & ~F.startswith(path, F.lit("/"))
+
+
+#: Fixed value: texts beyond this size are searched by name only.
+SEARCHED_BYTES = 524_288
+
+
+def matching_files(files: DataFrame, name: Column, text: Column, in_name: str, in_text: str | None = None) -> DataFrame:
+    """files whose name or, if it isn't too large, text contains what is looked for, whatever the case."""
+    small = F.octet_length(text) <= SEARCHED_BYTES
+    return files.where(F.contains(F.lower(name), F.lit(in_name.lower())) | (small & F.contains(F.lower(text), F.lit((in_text or in_name).lower()))))

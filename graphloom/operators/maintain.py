@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.operators.graph import resolve_names
+from graphloom.functions.text import callee_name
+from graphloom.operators.graph import call_edges, contains_edges, nested_edges
+from graphloom.sources.schemas import SCHEMA_VERSION
 
 SET_NULL = "to_symbol_id"
 #: Metadata keys in the order in which they are compared, and the reason each gives.
@@ -63,17 +65,45 @@ def cascade(tables: dict[str, DataFrame], gone_files: DataFrame) -> dict[str, Da
     return out
 
 
-def merge(tables: dict[str, DataFrame], parsed: dict[str, DataFrame], changed: DataFrame) -> dict[str, DataFrame]:
-    """Replace changed files (file_id) with their new rows and resolve every call again.
-
-    Names resolve against all symbols, so a second symbol of the same name anywhere makes old
-    calls ambiguous, as a full rebuild would: the two agree."""
-    kept = cascade(tables, changed)
-    out = {t: kept[t].unionByName(parsed[t], allowMissingColumns=True) for t in ("files", "symbols", "occurrences")}
-    out["edges"] = resolve_names(out["occurrences"], out["symbols"])
+def name_affected(occurrences: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Calls whose name one of the symbols before or after a change has: only their resolution can differ."""
+    names = before.select("name").unionAll(after.select("name")).distinct()
+    return occurrences.where("kind = 'Call'").join(names, callee_name(F.col("raw_text")) == names["name"], "left_semi")
+
+
+def merge(tables: dict[str, DataFrame], parsed: dict[str, DataFrame], changed: DataFrame, failed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Replace changed files (file_id) with their new rows; failed ones (file_id) among them keep their old graph and are marked, so that the next diff tries them again.
+
+    Resolved anew are the calls within changed files and those anywhere that call a name which
+    a changed file had or has: a second symbol of a name makes old calls ambiguous, and the
+    loss of one may make them clear. All other edges stay, so the result is a full build's.
+    Contains edges are made for changed files only. A changed file without new rows is gone."""
+    old = tables
+    if failed is not None:
+        changed = changed.join(failed.select("file_id"), "file_id", "left_anti")
+    kept = cascade(old, changed)
+    new = {t: parsed[t] if failed is None else parsed[t].join(failed.select(F.col("file_id").alias("id" if t == "files" else "file_id")), "id" if t == "files" else "file_id", "left_anti") for t in ("files", "symbols", "occurrences")}
+    if failed is not None and "parse_status" in kept["files"].columns:
+        marked = kept["files"].join(failed.select(F.col("file_id").alias("id"), F.lit(True).alias("_failed")), "id", "left")
+        kept["files"] = marked.withColumn("parse_status", F.when(F.col("_failed"), "Failed").otherwise(F.col("parse_status"))).drop("_failed").select(old["files"].columns)
+    contains = contains_edges(new["symbols"])
+    if "parent_symbol_id" in old["symbols"].columns and "parent_symbol_id" not in new["symbols"].columns:
+        new["symbols"] = new["symbols"].join(contains.select(F.col("child_id").alias("id"), F.col("parent_id").alias("parent_symbol_id")), "id", "left")
+    out = {t: kept[t].unionByName(new[t], allowMissingColumns=True) for t in ("files", "symbols", "occurrences")}
+    again = name_affected(out["occurrences"], old["symbols"].join(changed, "file_id", "left_semi"), new["symbols"])
+    own = new["occurrences"].where("kind = 'Call'").join(again.select("id"), "id", "left_anti")
+    calls = call_edges(again.unionByName(own, allowMissingColumns=True), out["symbols"])
+    stale = again.select(F.col("id").alias("occurrence_id"))
+    edges = kept["edges"].join(stale, "occurrence_id", "left_anti")
+    out["edges"] = edges.unionByName(calls, allowMissingColumns=True).unionByName(nested_edges(contains), allowMissingColumns=True) if "Contains" in _kinds(old) else edges.unionByName(calls.select([c for c in calls.columns if c in edges.columns]), allowMissingColumns=True)
     return out
 
 
+def _kinds(tables: dict[str, DataFrame]) -> set[str]:
+    """Kinds of edges that the index keeps: one that was built without Contains edges stays so."""
+    return {"Contains"} if not tables["edges"].where("kind = 'Contains'").isEmpty() or tables["edges"].isEmpty() else set()
+
+
 def invariants(files: DataFrame, symbols: DataFrame, occurrences: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, violations): rows that point nowhere."""
     fid, sid, oid = files.select(F.col("id").alias("_k")), symbols.select(F.col("id").alias("_k")), occurrences.select(F.col("id").alias("_k"))
@@ -90,5 +120,39 @@ def invariants(files: DataFrame, symbols: DataFrame, occurrences: DataFrame, edg
     return out
 
 
-def clear(files: DataFrame, language: str) -> DataFrame:
-    return files.where(F.col("language") != language)
+def clear(tables: dict[str, DataFrame], language: str, backend: str | None = None) -> dict[str, DataFrame]:
+    """The tables without the files of a language, and of a backend if one is named; what points into them loses its target."""
+    files = tables["files"]
+    gone = F.col("language") == language
+    if backend is not None:
+        gone &= F.col("backend") == backend if "backend" in files.columns else F.lit(False)
+    return tables | cascade(tables, files.where(gone).select(F.col("id").alias("file_id")))
+
+
+#: Versions of what is stored; one that differs makes the index be built anew.
+VERSIONS = {"schema_version": str(SCHEMA_VERSION), "chunk_builder_version": "1", "indexer_version": "1", "parser_config_hash": "default", "resolver_id": "names", "resolver_version": "1", "change_detection_strategy": "ContentHash", "base_index_ready": "true"}
+
+
+def write_metadata(spark: SparkSession, path: str, values: dict[str, str]) -> None:
+    """Keys and values beside an index; those already there stay unless named anew. Few rows."""
+    known = dict(read_metadata(spark, path)) | values
+    rows = spark.createDataFrame(sorted(known.items()), "key string, value string").coalesce(1)
+    rows.write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def read_metadata(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """[] where there are none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return [(r["key"], r["value"]) for r in spark.read.schema("key string, value string").parquet(f"{path}/metadata").collect()]  # few rows
+
+
+def needs_search_build(symbols: int, chunks: int, lexical: int, embedded: int | None, fingerprint: str | None, stored: str | None) -> list[str]:
+    """Which parts of the search index are to be built, by counts of rows and the models' fingerprints; embedded is None without a model."""
+    parts = [] if chunks or not symbols else ["chunks"]
+    if lexical != chunks or parts:
+        parts.append("lexical")
+    if embedded is not None and (embedded == 0 and chunks or fingerprint != stored or parts):
+        parts.append("dense")
+    return parts

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 LEAST_BUDGET = 100
 
 
-def effective_budget(budget: int, window: int, reserved_answer: int, reserved_prompt: int) -> int:
+def effective_budget(budget, window, reserved_answer, reserved_prompt):
+    """What of a budget fits into the window beside its reserves: of numbers, or of columns."""
+    if any(isinstance(x, Column) for x in (budget, window, reserved_answer, reserved_prompt)):
+        b, w, a, p = (x if isinstance(x, Column) else F.lit(x) for x in (budget, window, reserved_answer, reserved_prompt))
+        return F.greatest(F.least(b, w - a - p), F.lit(0))
     return max(min(budget, window - reserved_answer - reserved_prompt), 0)
 
 
@@ -73,3 +77,48 @@ def sections(packed: DataFrame, query: str, mode: str, budget: int, key: str = "
     ]
     named = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(s).alias("section"), t.alias("text")) for i, (s, t) in enumerate(zip(SECTIONS, text, strict=True))])
     return rows.select(key, F.explode(named).alias("x")).select(key, "x.place", "x.section", "x.text")
+
+
+def as_text(parts: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, text): a pack's sections, in order, as one text."""
+    return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+def _documents(packed: DataFrame, fields: list[str], key: str) -> DataFrame:
+    """(key, nodes): the included rows by place; a pack's nodes are bounded by its options."""
+    own = packed.where("status = 'included'") if "status" in packed.columns else packed
+    return own.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*fields).alias("node")))), lambda x: x["node"]).alias("nodes"))
+
+
+def as_json(packed: DataFrame, fields: list[str], key: str = "query_id") -> DataFrame:
+    """(key, json): one compact document per pack."""
+    return _documents(packed, fields, key).select(key, F.to_json(F.struct(key, "nodes")).alias("json"))
+
+
+def yaml_scalar(c: Column) -> Column:
+    """A value as YAML: numbers and booleans plain, null, all else as a double-quoted string."""
+    quoted = F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.when(c.isNull(), "null").otherwise(quoted)
+
+
+def yaml_items(rows: Column, fields: list[str], indent: str = "") -> Column:
+    """An array of structs as a YAML list."""
+    line = lambda x: F.concat(*[F.concat(F.lit(f"{indent}{'- ' if i == 0 else '  '}{f}: "), yaml_scalar(x[f]), F.lit("\n")) for i, f in enumerate(fields)])
+    return F.when(F.size(rows) == 0, f"{indent}[]\n").otherwise(F.array_join(F.transform(rows, line), ""))
+
+
+def as_yaml(packed: DataFrame, fields: list[str], key: str = "query_id") -> DataFrame:
+    """(key, yaml): one document per pack."""
+    head = F.concat(F.lit(f"{key}: "), yaml_scalar(F.col(key)), F.lit("\nnodes:\n"))
+    return _documents(packed, fields, key).select(key, F.concat(head, yaml_items(F.col("nodes"), fields)).alias("yaml"))
+
+
+#: What the first of a recap are called.
+LABELS = ["Start with", "Then read", "Then inspect"]
+
+
+def recap(ranked: DataFrame, order: list[Column]) -> DataFrame:
+    """(label, id): the first three by order, a top-k report."""
+    best = ranked.orderBy(*order).limit(len(LABELS))
+    place = F.row_number().over(W.orderBy(*order))
+    return best.select(F.element_at(F.array(*[F.lit(x) for x in LABELS]), place).alias("label"), "id")

@@ -11,11 +11,28 @@ DISTANCE = [(0, 10.0), (1, 6.0), (2, 3.0), (3, 1.0)]
 CONFIDENCE = [("LspExact", 2.0), ("Syntax", 1.2), ("Heuristic", 0.5), ("Unresolved", -1.0)]
 
 
+MOST_ROOTS = 1000
+
+
 def graph_score(roots: DataFrame, include_tests: bool = False) -> Column:
-    """Column over candidates (name, qualified_name, path, distance, confidence or null). roots (path): few, by their limit."""
-    paths = [r["path"] for r in roots.select("path").distinct().limit(100).collect()]
-    same_file = F.col("path").isin(paths)
-    same_dir = parent_dir(F.col("path")).isin(sorted({p.rpartition("/")[0] for p in paths}))
+    """Column over candidates (name, qualified_name, path, distance, confidence or null) for roots (path) that are few; with_graph_score takes any number."""
+    paths = [r["path"] for r in roots.select("path").where("path is not null").distinct().limit(MOST_ROOTS + 1).collect()]
+    if len(paths) > MOST_ROOTS:
+        raise ValueError(f"more than {MOST_ROOTS} paths of roots")
+    return _graph_score(F.col("path").isin(paths), parent_dir(F.col("path")).isin(sorted({p.rpartition("/")[0] for p in paths})), include_tests)
+
+
+def with_graph_score(candidates: DataFrame, roots: DataFrame, include_tests: bool = False) -> DataFrame:
+    """candidates (name, qualified_name, path, distance, confidence or null) with graph_score; roots (path), however many."""
+    paths = roots.select("path").where("path is not null").distinct()
+    dirs = paths.select(parent_dir(F.col("path")).alias("_dir")).distinct()
+    own = candidates.withColumn("_in", parent_dir(F.col("path")))
+    own = own.join(paths.select(F.col("path").alias("_path"), F.lit(True).alias("_file")), F.col("path") == F.col("_path"), "left").join(dirs.withColumn("_near", F.lit(True)), F.col("_in") == F.col("_dir"), "left")
+    score = _graph_score(F.coalesce("_file", F.lit(False)), F.coalesce("_near", F.lit(False)), include_tests)
+    return own.withColumn("graph_score", score).drop("_in", "_path", "_file", "_dir", "_near")
+
+
+def _graph_score(same_file: Column, same_dir: Column, include_tests: bool) -> Column:
     score = F.lit(0.0)
     for d, value in DISTANCE:
         score = score + F.when(F.col("distance") == d, value).otherwise(0.0)
@@ -52,7 +69,7 @@ def lexical(candidates: DataFrame, query: str) -> DataFrame:
 
 def rank(candidates: DataFrame, roots: DataFrame, query: str, mode: str = "hybrid", graph_weight: float = 1.0, lexical_weight: float = 1.0, include_tests: bool = False) -> DataFrame:
     """candidates with graph_score, lexical_score and score by mode; order by score, then the shorter qualified name, then id."""
-    scored = lexical(candidates, query).withColumn("graph_score", graph_score(roots, include_tests))
+    scored = with_graph_score(lexical(candidates, query), roots, include_tests)
     value = {"graph": F.col("graph_score"), "lexical": F.col("lexical_score"), "hybrid": graph_weight * F.col("graph_score") + lexical_weight * F.col("lexical_score")}[mode]
     return scored.withColumn("score", F.round(value, 6)).withColumn("graph_score", F.round("graph_score", 6)).withColumn("lexical_score", F.round("lexical_score", 6))
 

@@ -66,6 +66,31 @@ def module_metrics(symbols: DataFrame, files: DataFrame, calls: DataFrame) -> Da
     )
 
 
+def counts_by(rows: DataFrame, column: str) -> DataFrame:
+    """(column, n): a histogram, the largest first where it is shown."""
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def confidence_histogram(edges: DataFrame) -> DataFrame:
+    """(confidence, n, unresolved): edges by confidence, and those without a target."""
+    return edges.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("to_symbol_id").isNull()).alias("unresolved"))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of each table."""
+    out = None
+    for name, t in tables.items():
+        one = t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def selection_totals(entries: DataFrame, columns: tuple[str, ...] = ("bytes", "lines", "tokens")) -> DataFrame:
+    """One row: how many of the entries are selected (selected), and the sums over them."""
+    own = F.col("selected")
+    return entries.agg(F.count_if(own).alias("selected"), *[F.coalesce(F.sum(F.when(own, F.col(c))), F.lit(0)).cast("long").alias(c) for c in columns])
+
+
 def usage_stats(events: DataFrame) -> DataFrame:
     """Per tool (tool, duration_ms, failed): calls, sums, whole mean and error rate in percent."""
     return events.groupBy("tool").agg(

@@ -26,7 +26,7 @@ def batch_ranges(spark, sf):
 @register("list_symbols_kind_after_limit", _with(" SELECT id, name, kind FROM (SELECT * FROM c_symbols WHERE contains(lower(name), '1') ORDER BY id LIMIT 100) WHERE kind = 'Class'"))
 def list_symbols_kind_after_limit(spark, sf):
     """The kind is asked of what the limit left, not before it."""
-    return ca.symbols(spark, sf).where(F.contains(F.lower("name"), F.lit("1"))).orderBy("id").limit(100).where("kind = 'Class'").select("id", "name", "kind")
+    return graph.list_symbols(ca.symbols(spark, sf), "1", 100, "Class").select("id", "name", "kind")
 
 
 # chunks: documents as summaries, conversations' turns as their children
@@ -43,8 +43,7 @@ def _chunk_table(spark, sf):
 
 @register("child_chunks", f"WITH {_CHUNKS}, r AS (SELECT parent_chunk_id, id, row_number() OVER (PARTITION BY parent_chunk_id ORDER BY start_line, id) AS n FROM ch WHERE parent_chunk_id IS NOT NULL) SELECT parent_chunk_id, id, n::INTEGER AS n FROM r WHERE n <= 3")
 def child_chunks(spark, sf):
-    n = F.row_number().over(W.partitionBy("parent_chunk_id").orderBy("start_line", "id"))
-    return _chunk_table(spark, sf).where("parent_chunk_id is not null").select("parent_chunk_id", "id", n.alias("n")).where("n <= 3")
+    return chunks.children(_chunk_table(spark, sf), 3)
 
 
 @register("hit_expansion", f"""WITH {_CHUNKS}, h AS (SELECT id AS chunk_id, (id * 37 % 101) / 101.0::DOUBLE AS score FROM ch), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM h
@@ -85,9 +84,11 @@ def chunk_builder(spark, sf):
     return built.join(names, "parent_chunk_id", "left").select("kind", "symbol_id", "start_line", "end_line", "qualified_name", "text_hash", "token_count", "parent")
 
 
-@register("snippets", f"WITH {_LS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_w(2, 6)} ELSE {_WINDOW.format(a='1', b='len(ls) + 2')} END AS text FROM d WHERE len(ls) BETWEEN 1 AND 79")
+@register("snippets", f"""WITH {_LS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_w(2, 6)} WHEN len(ls) <= 80 THEN {_WINDOW.format(a='1', b='len(ls) + 2')}
+  ELSE {_WINDOW.format(a='1', b='16')} || CASE WHEN len(ls) - 15 - 16 > 0 THEN '// ... ' || (len(ls) - 15 - 16) || ' lines omitted ...' || chr(10) ELSE '' END || {_WINDOW.format(a='greatest(len(ls) - 15, 17)', b='len(ls)')} END AS text FROM d""")
 def snippets(spark, sf):
-    d = _document_lines(spark, sf).where(F.size("ls").between(1, 79))
+    """A window, or the whole body, or its head and tail where it has more than 80 lines."""
+    d = _document_lines(spark, sf)
     n, even = F.size("ls"), F.col("doc_id") % 2 == 0
     null = F.lit(None).cast("int")
     return d.select("doc_id", chunks.snippet(F.col("ls"), F.when(even, 4).otherwise(1), F.when(even, 4).otherwise(n), F.when(even, null).otherwise(1), F.when(even, null).otherwise(n), False, 2).alias("text"))
@@ -122,7 +123,7 @@ def safe_paths(spark, sf):
 
 @register("url_decode", "SELECT page_id, url_decode(regexp_replace(url, 'example', '%65xample%20%C3%A9', 'g')) AS url FROM pages")
 def url_decode(spark, sf):
-    return ca.table(spark, sf, "pages").select("page_id", F.url_decode(F.regexp_replace("url", "example", "%65xample%20%C3%A9")).alias("url"))
+    return ca.table(spark, sf, "pages").select("page_id", tx.percent_decode(F.regexp_replace("url", "example", "%65xample%20%C3%A9")).alias("url"))
 
 
 @register("coverage_cobertura", """SELECT 'src/f' || c_nationkey || '.py' AS path, count(*) FILTER (hits > 0) AS covered, count(*) AS coverable FROM (SELECT c_nationkey, c_custkey % 40 AS line, arg_max(c_custkey % 3, c_custkey) AS hits FROM customer GROUP BY ALL) GROUP BY c_nationkey""")
@@ -146,13 +147,7 @@ def with_coverage(spark, sf):
   UNION ALL SELECT b, list_append(path, b), depth + 1 FROM w JOIN st ON id = a WHERE depth < 2 AND NOT list_contains(path, b)) SELECT array_to_string(path, '>') AS path, depth::INTEGER AS depth FROM w""")[4:])
 def slice_paths(spark, sf):
     """The slice as a tree of paths; a symbol on its own path is not entered again."""
-    step = ca.edges(spark, sf).where("to_symbol_id is not null").select(F.col("from_symbol_id").alias("a"), F.col("to_symbol_id").alias("b")).distinct()
-    layer = spark.range(1).select(F.lit(ca.CUSTOMER + 7).cast("long").alias("id"), F.array(F.lit(ca.CUSTOMER + 7).cast("long")).alias("path"))
-    out = layer.withColumn("depth", F.lit(0))
-    for depth in (1, 2):
-        layer = layer.join(step, F.col("id") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.col("b").alias("id"), F.array_append("path", F.col("b")).alias("path"))
-        out = out.unionAll(layer.withColumn("depth", F.lit(depth)))
-    return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
+    return graph.slice_paths(ca.edges(spark, sf), ca.CUSTOMER + 7, 2).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
 
 
 @register("layered_retrieval")
@@ -171,29 +166,97 @@ def layered_retrieval_fixed_depth(spark, sf):
     return found.select("id", "qualified_name", "distance", "reason")
 
 
-@register("pack_sections", """WITH c AS (SELECT c_custkey // 20 AS query_id, c_custkey AS id, 'q' || c_custkey AS qn, 'f' || c_custkey % 3 AS path, (c_custkey % 9)::BIGINT AS tokens, c_custkey % 20 = 0 AS is_root FROM customer)
-  SELECT query_id, 3 AS place, 'KeyNeighbors' AS section, 'Files to read' || chr(10) || coalesce(array_to_string(list_sort(list_distinct(list(path) FILTER (NOT is_root))), chr(10)), '') AS text FROM c GROUP BY query_id
-  UNION ALL SELECT query_id, 5, 'OmittedSummary', 'Omitted: 0' FROM c GROUP BY query_id""")
-def pack_sections(spark, sf):
+_PACKED = """WITH RECURSIVE c AS (SELECT c_custkey // 20 AS query_id, c_custkey AS id, 'q' || c_custkey AS qn, 'f' || c_custkey % 3 AS path, (c_custkey % 9 * 4)::BIGINT AS tokens, c_custkey % 20 = 0 AS is_root FROM customer
+  ), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_root DESC, id) AS n FROM c
+  ), w AS (SELECT query_id, n, id, is_root OR tokens <= 100 AS taken, greatest(100 - CASE WHEN is_root OR tokens <= 100 THEN tokens ELSE 0 END, 0) AS rest FROM o WHERE n = 1
+  UNION ALL SELECT o.query_id, o.n, o.id, o.is_root OR o.tokens <= w.rest, greatest(w.rest - CASE WHEN o.is_root OR o.tokens <= w.rest THEN o.tokens ELSE 0 END, 0) FROM w JOIN o ON w.query_id = o.query_id AND o.n = w.n + 1
+  ), p AS (SELECT o.*, w.taken FROM o JOIN w ON o.query_id = w.query_id AND o.n = w.n)"""
+
+
+def _packed_customers(spark, sf):
+    """Candidates that don't all fit: their budget is the least one, 100 tokens."""
     k = F.col("c_custkey")
-    c = ca.table(spark, sf, "customer").select(F.floor(k / 20).alias("query_id"), k.alias("id"), F.concat(F.lit("q"), k.cast("string")).alias("qualified_name"), F.concat(F.lit("f"), (k % 3).cast("string")).alias("path"), (k % 9).alias("tokens"), (k % 20 == 0).alias("is_root"), k.alias("place"), F.lit("s").alias("snippet"))
-    status = pack.pack(c, 1000)
-    return pack.sections(c.join(status.select("query_id", "id", "status"), ["query_id", "id"]), "what", "neighborhood", 1000).where(F.col("section").isin("KeyNeighbors", "OmittedSummary"))
+    c = ca.table(spark, sf, "customer").select(F.floor(k / 20).alias("query_id"), k.alias("id"), F.concat(F.lit("q"), k.cast("string")).alias("qualified_name"), F.concat(F.lit("f"), (k % 3).cast("string")).alias("path"), (k % 9 * 4).alias("tokens"), (k % 20 == 0).alias("is_root"), k.alias("place"), F.lit("s").alias("snippet"))
+    return c.join(pack.pack(c, 100).select("query_id", "id", "status"), ["query_id", "id"])
+
+
+@register("pack_sections", _PACKED + """ SELECT query_id, 0 AS place, 'Summary' AS section, 'Query: what' || chr(10) || 'Mode: neighborhood' || chr(10) || 'Token budget: 100' || chr(10) || 'Estimated tokens: ' || coalesce(sum(tokens) FILTER (taken), 0)::BIGINT || chr(10) || 'Roots: ' || count(*) FILTER (taken AND is_root) AS text FROM p GROUP BY query_id
+  UNION ALL SELECT query_id, 1, 'Root', coalesce(string_agg(qn || ' (' || path || ')', chr(10) ORDER BY id) FILTER (taken AND is_root), '') FROM p GROUP BY query_id
+  UNION ALL SELECT query_id, 2, 'DirectRelationships', coalesce(array_to_string((list(qn ORDER BY is_root DESC, id) FILTER (taken))[1:10], chr(10)), '') FROM p GROUP BY query_id
+  UNION ALL SELECT query_id, 3, 'KeyNeighbors', 'Files to read' || chr(10) || coalesce(array_to_string(list_sort(list_distinct(list(path) FILTER (taken AND NOT is_root))), chr(10)), '') FROM p GROUP BY query_id
+  UNION ALL SELECT query_id, 4, 'Snippets', 'Context' || chr(10) || coalesce(string_agg('  --- ' || path || ' ' || qn || chr(10) || 's', chr(10) ORDER BY is_root DESC, id) FILTER (taken), '') FROM p GROUP BY query_id
+  UNION ALL SELECT query_id, 5, 'OmittedSummary', 'Omitted: ' || count(*) FILTER (NOT taken) FROM p GROUP BY query_id""")
+def pack_sections(spark, sf):
+    """All six sections of packs from which some candidates are left out."""
+    return pack.sections(_packed_customers(spark, sf), "what", "neighborhood", 100)
+
+
+@register("slice_tree", "WITH RECURSIVE" + _with(f""", st AS (SELECT from_symbol_id AS a, to_symbol_id AS b, row_number() OVER (PARTITION BY from_symbol_id ORDER BY min(id)) AS n FROM c_edges WHERE from_symbol_id IS NOT NULL AND to_symbol_id IN (SELECT id FROM c_symbols) GROUP BY 1, 2
+  ), w(id, path, key, again) AS (SELECT {ca.CUSTOMER + 7}::BIGINT, [{ca.CUSTOMER + 7}::BIGINT], []::BIGINT[], false UNION ALL SELECT b, list_append(path, b), list_append(key, n), list_contains(path, b) FROM w JOIN st ON id = a WHERE len(key) < 2 AND NOT again
+  ), r AS (SELECT *, row_number() OVER (ORDER BY key) AS place FROM w QUALIFY place <= 21)
+  SELECT place::INTEGER AS place, len(key)::INTEGER AS depth, CASE WHEN len(key) > 0 THEN repeat('  ', len(key)) || '└─ ' ELSE '' END || CASE WHEN place > 20 THEN '... (truncated)' ELSE qualified_name || CASE WHEN again THEN ' (already visited)' ELSE '' END END AS line FROM r JOIN c_symbols s ON s.id = r.id""")[4:])
+def slice_tree(spark, sf):
+    """The first twenty lines of a slice to depth two, and whether there are more: a report."""
+    return graph.slice_tree(ca.edges(spark, sf), ca.symbols(spark, sf), ca.CUSTOMER + 7, 2, 20)
+
+
+_AROUND = f""", st AS (SELECT id AS e, to_symbol_id AS near, from_symbol_id AS far, from_symbol_id AS f, to_symbol_id AS t, raw_text, confidence FROM c_edges WHERE from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL
+  UNION ALL SELECT id, from_symbol_id, to_symbol_id, from_symbol_id, to_symbol_id, raw_text, confidence FROM c_edges WHERE from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL
+  ), l0 AS (SELECT {ca.SUPPLIER + 1}::BIGINT AS id), l1 AS (SELECT far AS id, min(near) AS parent FROM st WHERE near IN (SELECT id FROM l0) AND far NOT IN (SELECT id FROM l0) GROUP BY far
+  ), listed AS (SELECT id, 0 AS depth FROM l0 UNION ALL SELECT id, 1 FROM l1), nodes AS (SELECT id, depth, row_number() OVER (ORDER BY depth, id) AS place FROM listed QUALIFY place <= 50)"""
+
+
+@register("graph_context_nodes", _with(_AROUND + " SELECT id, depth, place::INTEGER AS place FROM nodes"))
+def graph_context_nodes(spark, sf):
+    """The first fifty of a symbol's neighbourhood: max_nodes is the feature."""
+    return graph.graph_context(ca.edges(spark, sf), ca.symbols(spark, sf), ca.SUPPLIER + 1, "neighborhood", 1, 50)["nodes"]
+
+
+@register("graph_context_edges", _with(_AROUND + " SELECT f AS from_id, t AS to_id, raw_text AS label, min(confidence) AS confidence FROM st WHERE near IN (SELECT id FROM nodes WHERE depth < 1) GROUP BY ALL"))
+def graph_context_edges(spark, sf):
+    return graph.graph_context(ca.edges(spark, sf), ca.symbols(spark, sf), ca.SUPPLIER + 1, "neighborhood", 1, 50)["edges"]
+
+
+@register("unresolved_edges", _with(" SELECT count(*) FILTER (confidence = 'Unresolved' OR to_symbol_id IS NULL) AS unresolved FROM c_edges WHERE kind IN ('Call', 'Reference')"))
+def unresolved_edges(spark, sf):
+    return graph.unresolved_edges(ca.edges(spark, sf), ["Call", "Reference"])
+
+
+@register("lexical_upsert", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'alpha beta alpha' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0), t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '' AND octet_length(encode(x)) <= 40) AS t FROM d
+  ), l AS (SELECT doc_id, t, len(t) AS n FROM t), a AS (SELECT count(*) AS docs, avg(n) AS m FROM l), f AS (SELECT doc_id, n, w, len(list_filter(t, lambda x: x = w)) AS tf FROM l, (SELECT unnest(['alpha', 'the']) AS w)), df AS (SELECT w, count(*) FILTER (tf > 0) AS df FROM f GROUP BY w)
+  SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / m))), 6) AS score FROM f JOIN df USING (w), a WHERE tf > 0 GROUP BY doc_id""")
+def lexical_upsert(spark, sf):
+    """A lexical index whose documents were replaced and removed finds what one built anew would."""
+    import uuid
+
+    from graphloom.durable import shared_dir
+    from graphloom.operators import lexical
+
+    d = ca.table(spark, sf, "documents").select("doc_id", "text")
+    root = f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}"
+    lexical.build(d, "doc_id", ["text"], root)
+    lexical.upsert(d.where("doc_id % 5 = 0").withColumn("text", F.lit("alpha beta alpha")), "doc_id", ["text"], root)
+    lexical.remove(d.where("doc_id % 7 = 0"), "doc_id", ["text"], root)
+    return lexical.search(spark, root, "the Alpha", None, "doc_id")
 
 
 @register("pack_as_json", """SELECT c_custkey // 20 AS query_id, '{"query_id":' || c_custkey // 20 || ',"nodes":' || '[' || string_agg('{"id":' || c_custkey || ',"name":"' || c_name || '"}', ',' ORDER BY c_custkey) || ']}' AS json FROM customer GROUP BY c_custkey // 20""")
 def pack_as_json(spark, sf):
     """A pack as one JSON document per query; a pack's nodes are bounded by its options."""
     c = ca.table(spark, sf, "customer")
-    nodes = F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))).alias("nodes")
-    g = c.groupBy(F.floor(F.col("c_custkey") / 20).alias("query_id")).agg(nodes)
-    return g.select("query_id", F.to_json(F.struct("query_id", "nodes")).alias("json"))
+    return pack.as_json(c.select(F.floor(F.col("c_custkey") / 20).alias("query_id"), F.col("c_custkey").alias("place"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), ["id", "name"])
+
+
+@register("pack_as_yaml", """SELECT c_custkey // 20 AS query_id, 'query_id: "' || c_custkey // 20 || '"' || chr(10) || 'nodes:' || chr(10) || string_agg('- id: "' || c_custkey || '"' || chr(10) || '  name: "' || c_name || '"' || chr(10), '' ORDER BY c_custkey) AS yaml FROM customer GROUP BY c_custkey // 20""")
+def pack_as_yaml(spark, sf):
+    c = ca.table(spark, sf, "customer")
+    return pack.as_yaml(c.select(F.floor(F.col("c_custkey") / 20).alias("query_id"), F.col("c_custkey").alias("place"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), ["id", "name"])
 
 
 @register("effective_budgets", "SELECT DISTINCT p_size AS reserved, greatest(least(12000, 12500 - 50 * p_size - 1000), 0)::INTEGER AS budget FROM part")
 def effective_budgets(spark, sf):
     s = F.col("p_size")
-    return ca.table(spark, sf, "part").select(s.alias("reserved"), F.greatest(F.least(F.lit(12_000), 12_500 - 50 * s - 1000), F.lit(0)).cast("int").alias("budget")).distinct()
+    return ca.table(spark, sf, "part").select(s.alias("reserved"), pack.effective_budget(F.lit(12_000), F.lit(12_500), 50 * s, F.lit(1000)).cast("int").alias("budget")).distinct()
 
 
 @register("root_ranking_ties", _with(" SELECT id, row_number() OVER (ORDER BY octet_length(encode(qualified_name)), id)::INTEGER AS place FROM c_symbols QUALIFY place <= 20"))
@@ -205,7 +268,7 @@ def root_ranking_ties(spark, sf):
 
 @register("grouped_tests", _with(" SELECT file_id, count(*) FILTER (kind = 'Test') AS tests, count(*) FILTER (kind <> 'Test') AS others FROM c_symbols GROUP BY file_id"))
 def grouped_tests(spark, sf):
-    return ca.symbols(spark, sf).groupBy("file_id").agg(F.count_if(F.col("kind") == "Test").alias("tests"), F.count_if(F.col("kind") != "Test").alias("others"))
+    return graph.tests_by_file(ca.symbols(spark, sf))
 
 
 @register("call_lines", _with(""" SELECT e.id, a.qualified_name || ' -> ' || coalesce(b.qualified_name, '?' || raw_text) || ' [' || confidence || ']' AS line FROM c_edges e JOIN c_symbols a ON e.from_symbol_id = a.id LEFT JOIN c_symbols b ON e.to_symbol_id = b.id WHERE e.kind = 'Call'"""))
@@ -236,9 +299,7 @@ def python_symbols(spark, sf):
 
 @register("reached_by_direction", _with(f", u AS (SELECT to_symbol_id AS id FROM c_edges WHERE from_symbol_id = {ca.PART + 5} AND to_symbol_id IS NOT NULL), v AS (SELECT from_symbol_id AS id FROM c_edges WHERE to_symbol_id = {ca.PART + 5}) SELECT id FROM u UNION SELECT id FROM v"))
 def reached_by_direction(spark, sf):
-    e = ca.edges(spark, sf)
-    out = e.where((F.col("from_symbol_id") == ca.PART + 5) & F.col("to_symbol_id").isNotNull()).select(F.col("to_symbol_id").alias("id"))
-    return out.union(e.where(F.col("to_symbol_id") == ca.PART + 5).select("from_symbol_id")).distinct()
+    return graph.neighbours(ca.edges(spark, sf), ca.PART + 5)
 
 
 
@@ -264,10 +325,7 @@ def search_symbols_limited(spark, sf):
 
 @register("recap_top_three", _with(_CANDIDATES + " SELECT ['Start with', 'Then read', 'Then inspect'][row_number() OVER (ORDER BY round(graph_score, 6) DESC, octet_length(encode(qualified_name)), id)] AS label, id FROM g ORDER BY round(graph_score, 6) DESC, octet_length(encode(qualified_name)), id LIMIT 3"))
 def recap_top_three(spark, sf):
-    best = rank.rank(_candidates(spark, sf), _root_paths(spark), "x", "graph").orderBy(*rank.order()).limit(3)
-    place = F.row_number().over(W.orderBy(*rank.order()))
-    labels = F.array(*[F.lit(x) for x in ("Start with", "Then read", "Then inspect")])
-    return best.select(F.element_at(labels, place).alias("label"), "id")
+    return pack.recap(rank.rank(_candidates(spark, sf), _root_paths(spark), "x", "graph"), rank.order())
 
 
 @register("embeddable_chunks", _with(" SELECT kind, count(*) * 2 AS n FROM (SELECT 'SymbolBody' AS kind FROM documents UNION ALL SELECT 'SymbolDecl' FROM documents) GROUP BY kind UNION ALL SELECT 'ParentSummary', count(*) FROM documents"))

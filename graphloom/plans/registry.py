@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from graphloom.durable import shared_dir
 from graphloom.functions import text as tx
-from graphloom.operators import chunks, export, filters, graph, maintain, pack, rank, search, stats
+from graphloom.operators import chunks, export, filters, graph, lexical, maintain, pack, rank, search, stats
 from graphloom.sources import carriers as ca, coverage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,12 +137,12 @@ def source_discovery(spark, sf):
     return filters.indexable(ca.documents(spark, sf), "path").select("path")
 
 
-_STATS_SQL = f""", fs AS (SELECT doc_id, path, CASE WHEN content IS NULL THEN 0 ELSE bytes END AS bytes, (CASE WHEN bytes <= 100000 THEN {LINES_SQL.replace('text', 'content')} ELSE 0 END)::BIGINT AS lines,
-  (CASE WHEN bytes <= 100000 THEN ceil(length(content) / 4.0) ELSE 0 END)::BIGINT AS tokens FROM c_documents)"""
+_STATS_SQL = f""", fs AS (SELECT doc_id, path, CASE WHEN content IS NULL THEN 0 ELSE bytes END AS bytes, (CASE WHEN bytes <= 524288 THEN {LINES_SQL.replace('text', 'content')} ELSE 0 END)::BIGINT AS lines,
+  (CASE WHEN bytes <= 524288 THEN ceil(length(content) / 4.0) ELSE 0 END)::BIGINT AS tokens FROM c_documents)"""
 
 
 def _file_stats(spark, sf):
-    return stats.file_stats(ca.documents(spark, sf).select("doc_id", "path", "content"), 100_000)
+    return stats.file_stats(ca.documents(spark, sf).select("doc_id", "path", "content"))
 
 
 @register("file_stats", _with(_STATS_SQL + " SELECT path, bytes, lines, tokens FROM fs"))
@@ -172,8 +174,7 @@ def tree_lines(spark, sf):
 
 @register("file_search", "SELECT page_id FROM pages WHERE contains(lower(url), 'blog') OR (octet_length(encode(html)) <= 524288 AND contains(lower(html), 'thing'))")
 def file_search(spark, sf):
-    small = F.octet_length("html") <= 524_288
-    return ca.table(spark, sf, "pages").where(F.contains(F.lower("url"), F.lit("blog")) | (small & F.contains(F.lower("html"), F.lit("thing")))).select("page_id")
+    return filters.matching_files(ca.table(spark, sf, "pages"), F.col("url"), F.col("html"), "Blog", "thing").select("page_id")
 
 
 # ---- metrics
@@ -211,21 +212,17 @@ def module_metrics(spark, sf):
 
 @register("confidence_histogram", _with(" SELECT confidence, count(*) AS n, count(*) FILTER (to_symbol_id IS NULL) AS unresolved FROM c_edges GROUP BY confidence"))
 def confidence_histogram(spark, sf):
-    return ca.edges(spark, sf).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("to_symbol_id").isNull()).alias("unresolved"))
+    return stats.confidence_histogram(ca.edges(spark, sf))
 
 
 @register("language_counts", _with(" SELECT language, count(*) AS files FROM c_files GROUP BY language"))
 def language_counts(spark, sf):
-    return ca.files(spark, sf).groupBy("language").agg(F.count(F.lit(1)).alias("files"))
+    return stats.counts_by(ca.files(spark, sf), "language").withColumnRenamed("n", "files")
 
 
 @register("table_counts", _with(" SELECT 'files' AS name, count(*) AS n FROM c_files UNION ALL SELECT 'symbols', count(*) FROM c_symbols UNION ALL SELECT 'edges', count(*) FROM c_edges"))
 def table_counts(spark, sf):
-    out = None
-    for name, t in (("files", ca.files), ("symbols", ca.symbols), ("edges", ca.edges)):
-        one = t(spark, sf).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-        out = one if out is None else out.unionAll(one)
-    return out
+    return stats.table_counts({"files": ca.files(spark, sf), "symbols": ca.symbols(spark, sf), "edges": ca.edges(spark, sf)})
 
 
 @register("usage_stats", "SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (value > 50) AS errors, sum(round(value)::BIGINT)::BIGINT AS total_ms, (sum(round(value)::BIGINT) // count(*))::BIGINT AS mean_ms, round(count(*) FILTER (value > 50) * 100.0 / count(*), 6)::DOUBLE AS error_rate FROM events GROUP BY 1")
@@ -416,8 +413,25 @@ _KNN = """dense AS (SELECT vec_id AS doc_id, round(list_inner_product(embedding:
   FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) ORDER BY score DESC, doc_id LIMIT 50)"""
 
 
+#: Lexical indexes that this application has built, by the files that they were built from.
+_INDEXES: dict[tuple, str] = {}
+
+
+def lexical_index(spark, sf):
+    """The folder of the documents' lexical index, built at first use and again when their files change."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    files = at.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(at)
+    key = (sc.applicationId, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    if key not in _INDEXES:
+        root = f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}"
+        lexical.build(ca.table(spark, sf, "documents"), "doc_id", ["text"], root)
+        _INDEXES[key] = root
+    return _INDEXES[key]
+
+
 def _bm25(spark, sf, limit=50):
-    return search.bm25(ca.table(spark, sf, "documents"), "doc_id", ["text"], SEARCH, limit)
+    return lexical.search(spark, lexical_index(spark, sf), SEARCH, limit, "doc_id")
 
 
 def _knn(spark, sf, limit=50):
@@ -577,12 +591,19 @@ def invariants(spark, sf):
 
 @register("incremental_equals_full", "SELECT 'only_full' AS side, 0::BIGINT AS n UNION ALL SELECT 'only_incremental', 0::BIGINT")
 def incremental_equals_full(spark, sf):
-    """Replacing one region's files by themselves gives the edges of a full build."""
+    """An index whose files of one region had other names, bounds and calls, after these files change to what they are, has the edges of a full build: calls and nesting, with their ids."""
     s, o, f = ca.symbols(spark, sf), ca.occurrences(spark, sf), ca.files(spark, sf)
+    if "id" not in o.columns:
+        o = o.withColumn("id", F.xxhash64(*o.columns))
     gone = _gone(spark, sf)
-    full = graph.resolve_names(o, s)
+    mark = gone.select("file_id", F.lit(True).alias("was"))
+    odd = F.col("id") % 3 == 0
+    old_s = s.join(mark, "file_id", "left").withColumn("name", F.when(F.col("was") & odd, F.concat(F.lit("old_"), "name")).otherwise(F.col("name"))).withColumn("end_line", F.when(F.col("was") & odd, F.col("start_line")).otherwise(F.col("end_line"))).select(s.columns)
+    old_o = o.join(mark, "file_id", "left").withColumn("raw_text", F.when(F.col("was") & odd, F.concat(F.lit("old_"), "raw_text")).otherwise(F.col("raw_text"))).select(o.columns)
+    both = lambda oo, ss: graph.call_edges(oo, ss).unionByName(graph.nested_edges(graph.contains_edges(ss)))
     again = {"files": f.join(gone.withColumnRenamed("file_id", "id"), "id", "left_semi"), "symbols": s.join(gone, "file_id", "left_semi"), "occurrences": o.join(gone, "file_id", "left_semi")}
-    merged = maintain.merge({"files": f, "symbols": s, "occurrences": o, "edges": full.withColumn("id", F.col("occurrence_id"))}, again, gone)["edges"].select(full.columns)
+    full = both(o, s)
+    merged = maintain.merge({"files": f, "symbols": old_s, "occurrences": old_o, "edges": both(old_o, old_s)}, again, gone)["edges"].select(full.columns)
     count = lambda df, side: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), "n")
     return count(full.exceptAll(merged), "only_full").unionAll(count(merged.exceptAll(full), "only_incremental"))
 

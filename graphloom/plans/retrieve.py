@@ -113,13 +113,13 @@ def expand_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return first.select("symbol_id", F.round("x.score", 6).alias("score"), F.col("x.seq.origin").alias("origin"))
 
 
-def retrieve(strategy: str, query: str, edges: DataFrame, symbols: DataFrame, files: DataFrame, chunks: DataFrame | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, options: Options = Options()) -> DataFrame:
-    """Dispatch by strategy graph, lexical, dense or hybrid; unknown ones are hybrid. Without vectors, hybrid is lexical, and dense has no hits."""
+def retrieve(strategy: str, query: str, edges: DataFrame, symbols: DataFrame, files: DataFrame, chunks: DataFrame | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, options: Options = Options(), words: DataFrame | None = None) -> DataFrame:
+    """Dispatch by strategy graph, lexical, dense or hybrid; unknown ones are hybrid. Without vectors, hybrid is lexical, and dense has no hits. words (doc, score): hits of a stored lexical index, instead of a scan."""
     if strategy == "graph" or chunks is None:
         return graph_pack(edges, symbols, files, query, options)
     hit = lambda df, key: df.select(F.col(key).alias("chunk_id"), F.lit(None).cast("long").alias("symbol_id"), "score")
     dense = vectors is not None and query_vector is not None
-    lexical = None if strategy == "dense" else hit(search.bm25(chunks.withColumnRenamed("id", "doc"), "doc", ["text", "qualified_name"], query), "doc")
+    lexical = None if strategy == "dense" else hit(words if words is not None else search.bm25(chunks.withColumnRenamed("id", "doc"), "doc", ["text", "qualified_name"], query), "doc")
     near = hit(search.knn(vectors, "chunk_id", "vector", query_vector), "chunk_id") if dense and strategy != "lexical" else None
     if lexical is not None and near is not None:
         hits = search.hybrid(lexical, near)

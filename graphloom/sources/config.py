@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -57,3 +58,24 @@ def merge(*layers: Settings) -> Settings:
     for layer in layers:
         out = replace(out, **{f.name: v for f in fields(Settings) if (v := getattr(layer, f.name)) is not None})
     return out
+
+
+def render(settings: Settings) -> str:
+    """What parse reads back: a line for each key that is set."""
+    shown = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    return "".join(f"{f.name} = {shown(v)}\n" for f in fields(Settings) if (v := getattr(settings, f.name)) is not None)
+
+
+def save(settings: Settings, path: str) -> None:
+    """Write the keys that are set over those of the file, if there is one; its other lines, comments too, stay."""
+    at = Path(path)
+    old = at.read_text().splitlines() if at.exists() else []
+    new = {f.name: v for f in fields(Settings) if (v := getattr(settings, f.name)) is not None}
+    kept = [line for line in old if not any(getattr(parse(line), k) is not None for k in new)]
+    at.parent.mkdir(parents=True, exist_ok=True)
+    at.write_text("".join(f"{line}\n" for line in kept) + render(settings))
+
+
+def load(*paths: str) -> Settings:
+    """The defaults under each file's layer that exists, later ones over earlier ones."""
+    return merge(*[parse(Path(p).read_text()) for p in paths if Path(p).exists()])

@@ -41,3 +41,25 @@ def report_kind(path: str) -> str | None:
     if name == "lcov.info" or name.endswith(".lcov"):
         return "lcov"
     return "cobertura" if name in ("coverage.xml", "cobertura.xml") else None
+
+
+#: Directories that discovery doesn't enter.
+UNSEARCHED = [".git", "node_modules", ".venv", "venv", "__pycache__", ".pytest_cache"]
+
+
+def discover(files: DataFrame, path: str = "rel_path") -> DataFrame:
+    """files that are coverage reports by name; below a directory `target` only its own lcov.info and what its `cov` holds count."""
+    parts = F.split(path, "/")
+    name, dirs = F.element_at(parts, -1), F.slice(parts, 1, F.size(parts) - 1)
+    inside = F.array_position(dirs, "target")
+    after = F.slice(parts, (inside + 1).cast("int"), F.size(parts))
+    of_target = (inside == 0) | (F.element_at(after, 1) == "cov") | ((F.size(after) == 1) & (name == "lcov.info"))
+    again = F.array_contains(F.slice(dirs, (inside + 2).cast("int"), F.size(parts)), "target") & (inside > 0)
+    return files.where(name.isin("lcov.info", "coverage.xml", "cobertura.xml") & ~F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in UNSEARCHED])) & of_target & ~again)
+
+
+def of_reports(reports: DataFrame) -> DataFrame:
+    """(path, covered, coverable) of report files (rel_path, content): each by the reader that its name asks for."""
+    lines = reports.select("rel_path", F.posexplode(F.split("content", "\n")).alias("line_no", "line")).select(F.col("rel_path").alias("report"), "line_no", "line")
+    xml = F.endswith("report", F.lit(".xml"))
+    return per_file(lcov(lines.where(~xml)).unionByName(cobertura(lines.where(xml))))

@@ -1,8 +1,9 @@
 """Parsers: source text to symbols and occurrences, in Arrow-batched pandas over files.
 
 No built-in expression parses a language, so this is the one place of the library's main path
-that runs Python: whole files in, rows out, one file at a time in memory. A file with a syntax
-error gives no rows."""
+that runs Python: whole files in, rows out, one file at a time in memory. In a file with a syntax
+error the top-level blocks that do parse give their rows; a file of which none does, or whose
+text can't be read, gives one row "failed"."""
 
 from __future__ import annotations
 
@@ -14,6 +15,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.durable import ship_package
+
 ROW = "rel_path string, row string, kind string, name string, qualified_name string, start_line long, start_col long, end_line long, end_col long, body_start_line long, body_end_line long, nesting_depth long, complexity long, params long, raw_text string, enclosing string"
 COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 #: Node kinds that branch or nest.
@@ -30,9 +33,29 @@ class _Python:
     def run(self) -> list[tuple]:
         self.lines = self.source.split("\n")
         stem = self.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        self.visit(ast.parse(self.source), [stem], False, None)
+        try:
+            self.visit(ast.parse(self.source), [stem], False, None)
+        except SyntaxError:
+            self.rows.clear()
+            if not self.recover(stem):
+                raise
         return self.rows
 
+    def recover(self, stem: str) -> bool:
+        """Parse the top-level blocks one by one, each where it stands; whether any does."""
+        starts = [i for i, line in enumerate(self.lines) if line[:1].strip() and not line.startswith((")", "]", "}", "#", "else", "elif", "except", "finally"))]
+        starts = [s for k, s in enumerate(starts) if not (k and starts[k - 1] == s - 1 and self.lines[s - 1].startswith("@"))]
+        whole, found = self.source, False
+        for s, e in zip(starts, [*starts[1:], len(self.lines)], strict=True):
+            self.source = "\n" * s + "\n".join(self.lines[s:e])
+            try:
+                self.visit(ast.parse(self.source), [stem], False, None)
+                found = True
+            except SyntaxError:
+                continue
+        self.source = whole
+        return found
+
     def depth(self, node: ast.AST) -> int:
         inner = max((self.depth(c) for c in ast.iter_child_nodes(node)), default=0)
         return inner + isinstance(node, NESTING)
@@ -70,7 +93,29 @@ def parse_python(path: str, source: str) -> list[tuple]:
     try:
         return _Python(path, source).run()
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        return [failure(path)]
+
+
+def failure(path: str) -> tuple:
+    return (path, "failed", *[None] * (len(COLUMNS) - 2))
+
+
+def _impl_name(head: str) -> str | None:
+    """Of the text between impl and its brace: "Type", or "Type as Trait"."""
+    angles, brackets, top = 0, 0, ""
+    for i, c in enumerate(head):
+        if c == ";" and not brackets:
+            return None
+        brackets += (c == "[") - (c == "]")
+        closes = c == ">" and head[i - 1] not in "-="
+        angles += (c == "<") - closes
+        if not angles and not closes:
+            top += c
+    words = re.split(r"\bwhere\b", top)[0]
+    parts = [" ".join(x.split()) for x in re.split(r"\s+for\s+", words)]
+    if not parts[0]:
+        return None
+    return parts[0] if len(parts) == 1 else f"{parts[1]} as {parts[0]}"
 
 
 _RUST = re.compile(
@@ -80,6 +125,9 @@ _RUST = re.compile(
 )
 
 
+_NAME = re.compile(r"\s+([A-Za-z_]\w*)")
+
+
 def parse_rust(path: str, source: str) -> list[tuple]:
     """A scanner of items, calls and braces; it knows comments, strings and attributes, not macros' insides."""
     starts = [0, *(m.end() for m in re.finditer("\n", source))]
@@ -100,18 +148,16 @@ def parse_rust(path: str, source: str) -> list[tuple]:
         if m["attr"]:
             attrs.append(m["attr"])
         elif m["item"]:
-            head = source[m.end() : m.end() + 400]
             if m["item"] == "impl":
-                g = re.match(r"\s*(?:<[^{]*?>\s*)?(?P<a>[^{;]*?)(?:\s+for\s+(?P<b>[^{;]*?))?\s*(?:where\b[^{]*)?\{", head, re.S)
-                name = None
-                if g:
-                    clean = lambda t: re.sub(r"<.*", "", t, flags=re.S).strip()
-                    name = clean(g["a"]) if g["b"] is None else f"{clean(g['b'])} as {clean(g['a'])}"
+                brace = source.find("{", m.end())
+                name = _impl_name(source[m.end() : brace]) if brace >= 0 else None
+                if name:
+                    skip_until = brace  # nothing in the head is an item or a call
             else:
-                g = re.match(r"\s+([A-Za-z_]\w*)", head)
+                g = _NAME.match(source, m.end())
                 name = g[1] if g else None
                 if g:
-                    skip_until = m.end() + g.end()
+                    skip_until = g.end()
             if name:
                 pending = (m["item"], name, m.start(), list(attrs))
             attrs = []
@@ -146,7 +192,7 @@ def parse_rust(path: str, source: str) -> list[tuple]:
                 depth += 1
             attrs = []
         elif m["mark"] == "}":
-            depth -= 1
+            depth = max(depth - 1, 0)  # a brace too many closes nothing
             if open_items and open_items[-1][0] == depth:
                 _, word, _, row = open_items.pop()
                 row[7], row[8] = at(m.end())
@@ -163,7 +209,11 @@ def parse_rust(path: str, source: str) -> list[tuple]:
                 outer = next((o[3][4] for o in reversed(open_items) if o[1] == "fn"), None)
                 (l1, c1), (l2, c2) = at(m.start()), at(m.start() + len(raw))
                 calls.append([path, "occurrence", "Call", None, None, l1, c1, l2, c2, None, None, None, None, None, raw, outer])
-    return [tuple(r) for r in rows + calls] if depth == 0 else []
+    for _, _, _, row in open_items:  # a brace too few: what is open ends with the file
+        row[7], row[8] = at(len(source))
+        if row[9]:
+            row[10] = row[7]
+    return [tuple(r) for r in rows + calls]
 
 
 #: Parsers by extension; a caller may add its own.
@@ -172,13 +222,14 @@ PARSERS: dict[str, Callable[[str, str], list[tuple]]] = {"py": parse_python, "rs
 
 def parse_files(files: DataFrame, parsers: dict[str, Callable[[str, str], list[tuple]]] | None = None) -> DataFrame:
     """files (rel_path, content) to rows of symbols and occurrences."""
+    ship_package(files.sparkSession)
     chosen = dict(parsers or PARSERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, text in zip(pdf["rel_path"], pdf["content"], strict=True):
                 parser = chosen.get(path.rsplit(".", 1)[-1])
-                rows = parser(path, text) if parser and text is not None else []
+                rows = [] if not parser else [failure(path)] if text is None else parser(path, text)
                 if rows:
                     out = pd.DataFrame(rows, columns=COLUMNS)
                     for c in ("start_line", "start_col", "end_line", "end_col", "body_start_line", "body_end_line", "nesting_depth", "complexity", "params"):

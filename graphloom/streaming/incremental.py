@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from graphloom.durable import cut
+from graphloom.durable import cut, publish, published
+from graphloom.operators.graph import call_edges, contains_edges, nested_edges
 from graphloom.operators.maintain import merge
 from graphloom.sources.corpus import stream_files
 from graphloom.sources.parse import parse_files, tables
@@ -14,42 +17,37 @@ TABLES = ("files", "symbols", "occurrences", "edges")
 
 
 def file_table(scanned: DataFrame) -> DataFrame:
-    return scanned.select(F.xxhash64("rel_path").alias("id"), "rel_path", "mtime_ms", F.col("bytes").alias("size_bytes"), "content_hash")
-
-
-def _version(spark: SparkSession, root: str) -> int:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return -1
-    done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_COMPLETE"))]
-    return max(done, default=-1)
+    return scanned.select(F.xxhash64("rel_path").alias("id"), "rel_path", "mtime_ms", F.col("bytes").alias("size_bytes"), "content_hash", F.lit("Success").alias("parse_status"))
 
 
-def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    v = _version(spark, root)
-    return {} if v < 0 else {t: spark.read.parquet(f"{root}/v{v}/{t}") for t in TABLES}
+def load(spark: SparkSession, root: str, below: int | None = None) -> dict[str, DataFrame]:
+    """The latest version's tables (below: of those before that version); {} if there is none."""
+    found = [folder for v, folder in published(spark, root) if below is None or v < below]
+    return {t: spark.read.parquet(f"{root}/{found[-1]}/{t}") for t in TABLES} if found else {}
 
 
 def apply_batch(spark: SparkSession, scanned: DataFrame, root: str, version: int) -> None:
-    """Write version `version` of the tables; running it again gives the same. A marker makes a version visible whole."""
-    files = file_table(scanned)
-    symbols, occurrences = tables(cut(parse_files(scanned), "parsed"), files)
-    parsed = {"files": files, "symbols": symbols, "occurrences": occurrences}
-    before = _version(spark, root)
-    if before < 0:
-        from graphloom.operators.graph import resolve_names
+    """Write version `version` of the tables from the latest one below it, into a folder of its own; a marker makes it visible whole.
 
-        out = parsed | {"edges": resolve_names(occurrences, symbols)}
+    A batch that runs again starts from the same version and gives the same tables; its marker
+    takes the place of the earlier one, whose folder is not touched."""
+    files = file_table(scanned)
+    parsed_rows = cut(parse_files(scanned), "parsed")
+    symbols, occurrences = tables(parsed_rows, files)
+    failed = parsed_rows.where("row = 'failed'").select(F.xxhash64("rel_path").alias("file_id")).distinct()
+    old = load(spark, root, below=version)
+    if not old:
+        contains = contains_edges(symbols)
+        symbols = symbols.join(contains.select(F.col("child_id").alias("id"), F.col("parent_id").alias("parent_symbol_id")), "id", "left")
+        bad = files.join(failed.select(F.col("file_id").alias("id"), F.lit(True).alias("bad")), "id", "left")
+        files = bad.withColumn("parse_status", F.when(F.col("bad"), "Failed").otherwise(F.col("parse_status"))).drop("bad")
+        out = {"files": files, "symbols": symbols, "occurrences": occurrences, "edges": call_edges(occurrences, symbols).unionByName(nested_edges(contains))}
     else:
-        old = {t: spark.read.parquet(f"{root}/v{before}/{t}") for t in TABLES}
-        out = merge(old, parsed, files.select(F.col("id").alias("file_id")))
+        out = merge(old, {"files": files, "symbols": symbols, "occurrences": occurrences}, files.select(F.col("id").alias("file_id")), failed)
+    folder = f"v{version}-{uuid.uuid4().hex[:12]}"
     for t in TABLES:
-        out[t].write.mode("overwrite").parquet(f"{root}/v{version}/{t}")
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{root}/v{version}/_COMPLETE")
-    marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(marker, True).close()
+        out[t].write.parquet(f"{root}/{folder}/{t}")
+    publish(spark, root, version, folder)
 
 
 def follow(spark: SparkSession, source: str, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
