@@ -246,23 +246,104 @@ def test_quality_on_held_out_labels(spark):
     assert r.clean > 0.99 and r.toxic < 0.3 and r.junk < 0.1
 
 
-def test_pipeline_stages(spark, sf_dir):
+def read_stages(spark, sf_dir):
+    """(name, input rows, output rows) of every stage but the last, then the last one's input frame."""
     import corpus_pipeline
-    from graphloom.llm.bpe import Codec, load_ranks
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, seen = docs.columns, []
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf_dir).cache()
-        assert out.columns == columns, name
-        seen.append(({r.doc_id: r.text for r in docs.collect()}, [(r.doc_id, r.text) for r in out.collect()]))
-        docs = out
-    before, after = seen[2]
-    assert {i for i, _ in after} == {c for _, c in slow_simhash(before).values()}
+        after = stage(spark, docs, sf_dir).cache()
+        assert after.columns == docs.columns, name
+        out.append((name, docs.collect(), after.collect()))
+        docs = after
+    return out, docs
+
+
+def test_pipeline_stages(spark, sf_dir):
+    """Each stage on its own input, against brute force."""
+    import math
+    from collections import Counter
+
+    import corpus_pipeline
+    import duckdb
+    import pandas as pd
     import public_tokenizers as P
 
-    own = Codec(load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    want = sorted((i, own.encode(t or "")) for i, t in seen[3][1])
-    assert sorted((r.doc_id, r.token_ids) for r in last) == want
+    from graphloom.llm import line_dedup, mixing, quality
+    from graphloom.llm.bpe import Codec, load_ranks
+
+    stages, last = read_stages(spark, sf_dir)
+
+    # classifier: the documents whose tail probability, word by word, is at least the cutoff
+    _, before, after = stages[0]
+    model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    tail = {r.doc_id: 1 / (1 + math.exp(float(model.thresholds[1]) - math.fsum(float(model.weights[p]) for p in slow_features(r.text)))) for r in before}
+    assert sorted(r.doc_id for r in after) == sorted(i for i, t in tail.items() if t >= quality.CUTOFF)
+
+    # lines: those on more than the ratio of a source's pages, and on enough of them
+    _, before, after = stages[1]
+    pages, on = Counter(r.source for r in before), Counter()
+    for r in before:
+        on.update({(r.source, line.strip(" \t\r")) for line in (r.text or "").split("\n")})
+    gone = {k for k, n in on.items() if k[0] is not None and k[1] and n >= line_dedup.MIN_PAGES and n / pages[k[0]] > line_dedup.RATIO}
+    want = {r.doc_id: "\n".join(line for line in r.text.split("\n") if (r.source, line.strip(" \t\r")) not in gone) for r in before}
+    assert {r.doc_id: r.text for r in after} == want and all(r.n_chars == len(r.text) for r in after)
+
+    # near-duplicates: five words, similarity 0.8; none goes that brute force keeps
+    _, before, after = stages[2]
+
+    def shingles(text):
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+    own = {r.doc_id: shingles(r.text) for r in before}
+    ids = sorted(own)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])]
+    group = components(near, ids)
+    kept = {r.doc_id for r in after}
+    assert set(group.values()) <= kept and {r.doc_id: r.text for r in before if r.doc_id in kept} == {r.doc_id: r.text for r in after}
+    to_go = [i for i in ids if group[i] != i]
+    assert len(to_go) > 5 and sum(i not in kept for i in to_go) >= 0.9 * len(to_go)
+
+    # mix: as often as SQL takes each document
+    _, before, after = stages[3]
+    con = duckdb.connect()
+    con.register("stage_docs", pd.DataFrame([r.asDict() for r in before]))
+    want = {i: n for i, n in con.sql(f"WITH {mixing.mix_sql('stage_docs')} SELECT doc_id, n FROM taken_rows WHERE n > 0").fetchall()}
+    assert Counter(r.doc_id for r in after) == want
+    texts = {r.doc_id: r for r in before}
+    assert all(r == texts[r.doc_id] for r in after)
+
+    # tokens
+    codec = Codec(load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    want = sorted((r.doc_id, codec.encode(r.text or "")) for r in after)
+    assert sorted((r.doc_id, r.token_ids) for r in corpus_pipeline.STAGES[-1][1](spark, last, sf_dir).collect()) == want
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()) == [i for i, _ in want]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """No rows; null and repeated ids, null and empty texts, null sources, labels of nothing."""
+    import corpus_pipeline
+
+    schema, labels = "doc_id long, text string, lang string, source string, n_chars long, _kept int", "doc_id long, quality int, toxic int"
+    empty = str(tmp_path / "empty")
+    spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], labels).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    odd = str(tmp_path / "odd")
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "en", "a", 1, 1), (1, words, "en", "a", 1, 1), (1, f"x {words} y", "en", None, 1, 2), (None, None, None, None, None, None), (2, None, "en", "a", None, 3), (3, "", "en", "b", 0, 4), (None, "some other words here", "en", "b", 5, 5)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{odd}/documents.parquet")
+    spark.createDataFrame([(99, 1, 0), (1, None, 0)], labels).write.parquet(f"{odd}/labels.parquet")
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    stages = corpus_pipeline.STAGES
+    assert stages[0][1](spark, docs, odd).count() == len(rows)  # no usable label: all stay
+    lines = stages[1][1](spark, docs, odd)
+    assert lines.columns == docs.columns and sorted(map(str, lines.select("doc_id", "text", "_kept").collect())) == sorted(map(str, docs.select("doc_id", "text", "_kept").collect()))
+    one = stages[2][1](spark, docs, odd).collect()
+    # the copy inside x ... y has similarity 36/38 and the same id: either may be the one that stays
+    assert sorted((r.doc_id or -1, (r.text or "").strip("xy ")) for r in one) == sorted([(-1, "some other words here"), (1, words), (2, "")])
+    mixed = stages[3][1](spark, docs, odd)
+    assert mixed.columns == docs.columns
+    assert corpus_pipeline.run(spark, odd).columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+    assert corpus_pipeline.run(spark, odd).where("doc_id = 1").count() >= 1
