@@ -266,6 +266,12 @@ class Engine:
         content = scan_files(self.spark, self.root).where("content is not null").select(F.col("rel_path").alias("path"), "content").join(visible, "path", "left_semi")
         return {"markdown": export.markdown, "xml": export.xml, "plain": export.plain}[how](content)
 
+    def dump(self, mode: str = "llm", max_bytes: int = 524_288) -> DataFrame:
+        """(section, key, text): the visible project as one document, ordered by section and key."""
+        visible = self.project(mode, max_bytes=max_bytes).where("reason is null")
+        files = scan_files(self.spark, self.root, max_bytes).select(F.col("rel_path").alias("path"), "bytes", "content", "problem")
+        return export.context_dump(self.root.rstrip("/").rsplit("/", 1)[-1], visible.select("path", "name", "is_dir", "tokens"), files)
+
     def coverage(self) -> DataFrame:
         """(path, covered, coverable) from the reports under root."""
         reports = coverage.discover(scan_files(self.spark, self.root, 1 << 30)).where("content is not null")

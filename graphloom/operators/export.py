@@ -10,7 +10,7 @@ from graphloom.functions.text import attribute, estimate_tokens, extension, fenc
 from graphloom.operators.pack import yaml_items, yaml_scalar
 from graphloom.sources.schemas import SCHEMA_VERSION
 
-__all__ = ["attribute", "coloured_source", "coloured_tree", "feature_export", "features", "graph_documents", "graphml", "highlight", "markdown", "plain", "symbol_list", "tree_lines", "xml"]
+__all__ = ["attribute", "coloured_source", "coloured_tree", "context_dump", "feature_export", "features", "graph_documents", "graphml", "highlight", "markdown", "plain", "symbol_list", "tree_lines", "with_prefix", "xml"]
 
 
 def features(symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -116,6 +116,40 @@ def tree_lines(entries: DataFrame) -> DataFrame:
     return own.select("path", "is_dir", depth.alias("depth"), F.concat(F.when(F.col("last"), "└── ").otherwise("├── "), "name", F.when(F.col("is_dir"), "/").otherwise("")).alias("line"))
 
 
+def with_prefix(entries: DataFrame) -> DataFrame:
+    """tree_lines with prefix, the bars of the directories above an entry, and key, by which lines are in the tree's order.
+
+    A path's ancestors are few; each line meets its ancestors' lines in one equi-join."""
+    drawn = tree_lines(entries)
+    parts = F.split("path", "/")
+    above = drawn.select("path", "is_dir", "depth", "line", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("up"))
+    marks = drawn.select(F.col("path").alias("up"), F.startswith("line", F.lit("└")).alias("last"), F.col("is_dir").alias("up_dir"), F.element_at(F.split("path", "/"), -1).alias("up_name"))
+    met = above.join(marks, "up").groupBy("path", "is_dir", "depth", "line").agg(F.array_sort(F.collect_list(F.struct(F.char_length("up").alias("n"), "last", "up_dir", "up_name"))).alias("ups"))
+    bars = F.array_join(F.transform(F.slice("ups", 1, F.size("ups") - 1), lambda x: F.when(x["last"], "    ").otherwise("│   ")), "")
+    return met.select("path", "is_dir", "depth", "line", bars.alias("prefix"), F.transform("ups", lambda x: F.struct((~x["up_dir"]).alias("file"), x["up_name"].alias("name"))).alias("key"))
+
+
+def context_dump(name: str, entries: DataFrame, files: DataFrame) -> DataFrame:
+    """(section, key, text): the project as one document, in this order: a head with totals, the tree with tokens, and every file's content or why it is left out.
+
+    entries (path, name, is_dir, tokens); files (path, bytes, content, problem), of which those that
+    are visible are shown."""
+    totals = entries.agg(F.count_if(~F.col("is_dir")).alias("n"), F.coalesce(F.sum(F.when(~F.col("is_dir"), F.col("tokens"))), F.lit(0)).cast("long").alias("t"))
+    none = F.array().cast("array<struct<file:boolean,name:string>>")
+    head = totals.select(F.lit(0).alias("section"), none.alias("key"), F.format_string(f"Project Context: {name.replace('%', '%%')}\nTotal files: %d | Total tokens: %d\n\n=== DIRECTORY STRUCTURE ===\n{name.replace('%', '%%')}\n", "n", "t").alias("text"))
+    drawn = with_prefix(entries)
+    tokens = entries.select(F.col("path").alias("_path"), F.coalesce("tokens", F.lit(0)).cast("long").alias("_tokens"))
+    own = drawn.join(tokens, F.col("path") == F.col("_path"))
+    shown = F.when(F.col("_tokens") > 0, F.format_string(" (%d tokens)", "_tokens")).otherwise("")
+    tree = own.select(F.lit(1), "key", F.concat("prefix", F.regexp_replace("line", "/$", ""), shown, F.lit("\n")))
+    middle = head.select(F.lit(2), none, F.lit("\n=== FILE CONTENTS ===\n\n"))
+    body = F.when(F.col("problem") == "TooLarge", F.format_string("[File skipped: Too large (%d KB)]\n\n", F.floor(F.col("bytes") / 1024))).when(F.col("content").isNull(), "[File skipped: Binary or read error]\n\n")
+    body = body.otherwise(F.concat("content", F.when(F.endswith("content", F.lit("\n")), "").otherwise("\n"), F.lit("\n")))
+    texts = own.where(~F.col("is_dir")).join(files.select(F.col("path").alias("_file"), "bytes", "content", "problem"), F.col("path") == F.col("_file"))
+    contents = texts.select(F.lit(3), "key", F.concat(F.format_string("--- FILE: %s (%d tokens) ---\n", "path", "_tokens"), body))
+    return head.unionAll(tree).unionAll(middle).unionAll(contents)
+
+
 #: Terminal colours of a tree's entries and of marked text.
 COLOURS = {"dir": "\x1b[1;34m", "source": "\x1b[32m", "text": "\x1b[33m", "other": "\x1b[37m", "match": "\x1b[7m", "keyword": "\x1b[35m", "string": "\x1b[32m", "comment": "\x1b[90m"}
 PLAIN = "\x1b[0m"
@@ -123,17 +157,16 @@ SOURCES, TEXTS = ["rs", "py", "js", "ts", "go", "java", "c", "cpp", "h"], ["md",
 
 
 def coloured_tree(entries: DataFrame, width: int = 60) -> DataFrame:
-    """tree_lines with colours by kind, and the size of files (bytes) and their tokens, if known, from column `width` on."""
-    drawn = tree_lines(entries)
+    """(path, is_dir, depth, key, line): the tree with its bars, with colours by kind, and the size of files (bytes) and their tokens, if known, from column `width` on."""
+    drawn = with_prefix(entries)
     sizes = entries.select(F.col("path").alias("_path"), F.col("bytes").alias("_bytes"), (F.col("tokens") if "tokens" in entries.columns else F.lit(None).cast("long")).alias("_tokens"))
     own = drawn.join(sizes, F.col("path") == F.col("_path"), "left")
     ext = F.lower(extension(file_name(F.col("path"))))
     colour = F.when(F.col("is_dir"), COLOURS["dir"]).when(ext.isin(SOURCES), COLOURS["source"]).when(ext.isin(TEXTS), COLOURS["text"]).otherwise(COLOURS["other"])
-    indent = F.repeat(F.lit("    "), F.col("depth") - 1)
-    pad = F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.char_length("line") - 4 * (F.col("depth") - 1), F.lit(1)))
+    pad = F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.char_length("line") - F.char_length("prefix"), F.lit(1)))
     tokens = F.when(F.col("_tokens").isNotNull(), F.concat(F.lit(", ~"), F.col("_tokens").cast("string"), F.lit(" tokens"))).otherwise("")
     size = F.when(~F.col("is_dir") & F.col("_bytes").isNotNull(), F.concat(pad, human_bytes(F.col("_bytes").cast("long")), tokens)).otherwise("")
-    return own.select("path", "is_dir", "depth", F.concat(indent, F.substring("line", 1, 4), colour, F.substring(F.col("line"), F.lit(5), F.char_length("line")), F.lit(PLAIN), size).alias("line"))
+    return own.select("path", "is_dir", "depth", "key", F.concat("prefix", F.substring("line", 1, 4), colour, F.substring(F.col("line"), F.lit(5), F.char_length("line")), F.lit(PLAIN), size).alias("line"))
 
 
 def highlight(text: Column, term: str) -> Column:

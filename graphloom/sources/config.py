@@ -21,15 +21,42 @@ class Settings:
     dense_top_k: int | None = None
     rerank_top_k: int | None = None
     enable_rerank: bool | None = None
-
-
-DEFAULTS = Settings(False, 32, 524_288, 12_000, 200, 50, 60, 50, 50, 20, False)
-#: Other names of keys.
-ALIASES = {"bm25_top_k": "lexical_top_k", "budget": "token_budget", "tests": "include_tests", "rerank": "enable_rerank"}
+    mode: str | None = None
+    max_depth: int | None = None
+    exclude: tuple[str, ...] | None = None
+    format: str | None = None
+    install_target: str | None = None
+    use_lsp: bool | None = None
+    stats_enabled: bool | None = None
+    packing: str | None = None
+    ranking: str | None = None
+    embedding_model: str | None = None
+    reranker_model: str | None = None
+    embedding_tokenizer: str | None = None
+    rerank_tokenizer: str | None = None
+    strategy: str | None = None
+    embed_batch_size: int | None = None
+    extraction_tier: str | None = None
+    threads: int | None = None
+    lsp_mode: str | None = None
+    incremental: bool | None = None
+    provider: str | None = None
+
+
+DEFAULTS = Settings(False, 32, 524_288, 12_000, 200, 50, 60, 50, 50, 20, False, mode="smart", max_depth=10, embed_batch_size=16)
+#: Other names of keys, the values that a key takes, and keys whose number is at least one.
+ALIASES = {
+    "bm25_top_k": "lexical_top_k", "budget": "token_budget", "default_token_budget": "token_budget", "tests": "include_tests", "rerank": "enable_rerank", "build_batch_size": "batch_files", "default_format": "format", "agent_format": "format",
+    "mcp_target": "install_target", "target": "install_target", "lsp": "use_lsp", "collect_stats": "stats_enabled", "stats": "stats_enabled", "default_packing": "packing", "default_ranking": "ranking",
+    "embedding_model_path": "embedding_model", "reranker_model_path": "reranker_model", "embedding_tokenizer_dir": "embedding_tokenizer", "rerank_tokenizer_dir": "rerank_tokenizer",
+    "default_retrieval_strategy": "strategy", "retrieval_strategy": "strategy", "tier": "extraction_tier", "parallel_threads": "threads", "incremental_indexing": "incremental", "embedding_execution_provider": "provider", "embedding_provider": "provider",
+}
+CHOICES = {"mode": ("smart", "all", "code", "docs", "llm"), "lsp_mode": ("off", "light", "full"), "provider": ("auto", "cpu", "coreml")}
+POSITIVE = ("batch_files", "embed_batch_size")
 
 
 def parse(text: str) -> Settings:
-    """Unknown keys and values that don't fit are left out; # and ; start comments outside quotes."""
+    """Unknown keys and values that don't fit are left out; # and ; start comments outside quotes. tokenizer_dir sets both tokenizers that aren't set."""
     kinds = {f.name: f.type for f in fields(Settings)}
     found: dict[str, object] = {}
     for line in text.splitlines():
@@ -41,14 +68,27 @@ def parse(text: str) -> Settings:
                 break
         key, equals, value = line[:end].partition("=")
         key = key.strip().lower().replace("-", "_")
-        key, value = ALIASES.get(key, key), value.strip().strip('"')
-        if not equals or key not in kinds:
+        key, value = ALIASES.get(key, key), value.strip()
+        plain = value.strip('"')
+        if not equals:
+            continue
+        if key == "tokenizer_dir":
+            for k in ("embedding_tokenizer", "rerank_tokenizer"):
+                found.setdefault(k, plain)
+        elif key not in kinds:
             continue
-        if "bool" in kinds[key]:
-            if value.lower() in ("true", "1", "yes", "on", "false", "0", "no", "off"):
-                found[key] = value.lower() in ("true", "1", "yes", "on")
-        elif value.isdigit():
-            found[key] = int(value)
+        elif "bool" in kinds[key]:
+            if plain.lower() in ("true", "1", "yes", "on", "false", "0", "no", "off"):
+                found[key] = plain.lower() in ("true", "1", "yes", "on")
+        elif "int" in kinds[key]:
+            if plain.isdigit() and (int(plain) or key not in POSITIVE):
+                found[key] = int(plain)
+        elif "tuple" in kinds[key]:
+            parts = tuple(x for part in value.strip("[]").split(",") if (x := part.strip().strip('"')))
+            if parts:
+                found[key] = parts
+        elif plain and (key not in CHOICES or plain.lower() in CHOICES[key]):
+            found[key] = plain.lower() if key in CHOICES else plain
     return Settings(**found)
 
 
@@ -62,7 +102,7 @@ def merge(*layers: Settings) -> Settings:
 
 def render(settings: Settings) -> str:
     """What parse reads back: a line for each key that is set."""
-    shown = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    shown = lambda v: str(v).lower() if isinstance(v, bool) else ", ".join(v) if isinstance(v, tuple) else f'"{v}"' if isinstance(v, str) else str(v)
     return "".join(f"{f.name} = {shown(v)}\n" for f in fields(Settings) if (v := getattr(settings, f.name)) is not None)
 
 

@@ -47,7 +47,7 @@ class Rule:
 
 
 #: The comment line after which the rest of a block holds bypass rules.
-BYPASS = "#[graphloom]"
+BYPASS = "#[keep]"
 
 
 def parse(text: str, base: str = "", bypass_mark: str = BYPASS) -> list[Rule]:

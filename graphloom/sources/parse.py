@@ -61,9 +61,15 @@ class _Python:
         return inner + isinstance(node, NESTING)
 
     def body_end(self, node: ast.AST) -> int:
-        end = node.end_lineno
-        while end > node.body[0].lineno and not self.lines[end - 1].strip():
-            end -= 1
+        """The last line of the body: comments after it that stand deeper than the definition belong to it, blank lines and other comments don't."""
+        end = at = node.end_lineno
+        while at < len(self.lines):
+            line = self.lines[at]
+            text = line.lstrip()
+            if text and not (text.startswith("#") and len(line) - len(text) > node.col_offset):
+                break
+            at += 1
+            end = at if text else end
         return end
 
     def visit(self, node: ast.AST, scope: list[str], in_class: bool, outer: str | None) -> None:
@@ -89,11 +95,16 @@ class _Python:
         self.rows.append((self.path, "occurrence", kind, None, None, node.lineno, node.col_offset + 1, node.end_lineno, node.end_col_offset + 1, None, None, None, None, None, raw, outer))
 
 
+def read_python(path: str, source: str) -> list[tuple]:
+    """A file of which nothing parses is an error."""
+    return _Python(path, source).run()
+
+
 def parse_python(path: str, source: str) -> list[tuple]:
     try:
-        return _Python(path, source).run()
+        return read_python(path, source)
     except (SyntaxError, ValueError, RecursionError):
-        return [failure(path)]
+        return []
 
 
 def failure(path: str) -> tuple:
@@ -216,8 +227,8 @@ def parse_rust(path: str, source: str) -> list[tuple]:
     return [tuple(r) for r in rows + calls]
 
 
-#: Parsers by extension; a caller may add its own.
-PARSERS: dict[str, Callable[[str, str], list[tuple]]] = {"py": parse_python, "rs": parse_rust}
+#: Parsers by extension; a caller may add its own. One that raises an error fails its file, not the task.
+PARSERS: dict[str, Callable[[str, str], list[tuple]]] = {"py": read_python, "rs": parse_rust}
 
 
 def parse_files(files: DataFrame, parsers: dict[str, Callable[[str, str], list[tuple]]] | None = None) -> DataFrame:
@@ -229,7 +240,10 @@ def parse_files(files: DataFrame, parsers: dict[str, Callable[[str, str], list[t
         for pdf in batches:
             for path, text in zip(pdf["rel_path"], pdf["content"], strict=True):
                 parser = chosen.get(path.rsplit(".", 1)[-1])
-                rows = [] if not parser else [failure(path)] if text is None else parser(path, text)
+                try:
+                    rows = [] if not parser else [failure(path)] if text is None else parser(path, text)
+                except (SyntaxError, ValueError, RecursionError):
+                    rows = [failure(path)]
                 if rows:
                     out = pd.DataFrame(rows, columns=COLUMNS)
                     for c in ("start_line", "start_col", "end_line", "end_col", "body_start_line", "body_end_line", "nesting_depth", "complexity", "params"):

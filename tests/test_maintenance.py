@@ -117,7 +117,7 @@ def test_clear_by_language_and_backend(spark, project, tmp_path):
 
 def test_ignore_files_hide_entries(spark, tmp_path):
     root = tmp_path / "p"
-    write(root, **{".gitignore": "*.gen\n# [deps]\n/only_here\n", "a.txt": "x", "b.gen": "x", "only_here": "x", "d__only_here": "x", "d__.gitignore": "!keep.gen\n\n#[graphloom]\nout.tmp2\n", "d__keep.gen": "x", "d__other.gen": "x", ".git__info__exclude": "*.exc\n", "e.exc": "x", "g.glob": "x"})
+    write(root, **{".gitignore": "*.gen\n# [deps]\n/only_here\n", "a.txt": "x", "b.gen": "x", "only_here": "x", "d__only_here": "x", "d__.gitignore": "!keep.gen\n\n#[keep]\nout.tmp2\n", "d__keep.gen": "x", "d__other.gen": "x", ".git__info__exclude": "*.exc\n", "e.exc": "x", "g.glob": "x"})
     own = Engine(spark, {}, str(root))
     files = lambda **k: {r.path for r in own.project(**k).where("not is_dir and path not like '.git%' and path not like '%.gitignore'").collect()}
     assert files() == {"a.txt", "d/only_here", "d/keep.gen", "g.glob"}
