@@ -89,6 +89,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if plan.toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all cuts made so far: for a driver that lives on, once the output of what it ran is written and nothing will read these frames again."""
+    while _cuts:
+        _delete(*_cuts.pop())
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the files behind a frame that cut() returned and that nothing will read again."""
     parents = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
