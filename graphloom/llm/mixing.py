@@ -12,7 +12,9 @@ target. Nothing is random: reruns, retried tasks and other partitionings agree.
 Levels in closed form: with sources in the order of cap/weight, those capped are a prefix;
 the level at which the rest share is (total - caps before) / (weights from here on) at the
 first source that isn't. Running sums over the table of sources give it, without a loop; the
-window has one row per source, spills, and never visits the driver.
+window has one row per source, spills, and never visits the driver. These windows are over all
+sources, in one task: meant for sources as they are named in a mix, up to millions, not for one
+per page.
 
 Plan: sizes are counted once and cut to the shared folder as narrow rows (doc_id, source,
 size). Totals and the shifts' sums are aggregations with map-side partial sums: a source with
