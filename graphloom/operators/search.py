@@ -102,3 +102,15 @@ def remove_ids(index: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def upsert(index: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """new's rows replace those with the same key."""
     return remove_ids(index, new, key).unionByName(new)
+
+
+def checked_vectors(vectors: DataFrame, embedding: str, dimension: int) -> DataFrame:
+    """vectors, of which one whose length isn't `dimension` is an error when it is read: what an index takes in must fit it."""
+    fits = F.size(embedding) == dimension
+    wrong = F.raise_error(F.concat(F.lit(f"a vector isn't of length {dimension} but "), F.coalesce(F.size(embedding).cast("string"), F.lit("null"))))
+    return vectors.withColumn(embedding, F.when(fits, F.col(embedding)).otherwise(wrong))
+
+
+def append_vectors(index: DataFrame, new: DataFrame, key: str, embedding: str, dimension: int) -> DataFrame:
+    """index with new's rows, which replace those with the same key and must be of its dimension."""
+    return upsert(index, checked_vectors(new, embedding, dimension), key)

@@ -108,3 +108,13 @@ def test_selection_and_features(spark):
     f, m = spark.createDataFrame([(1, "m.py")], "id long, rel_path string"), spark.createDataFrame([("m", 3)], "module_path string, total_loc long")
     got = [r.json for r in export.feature_export(s, f, m).orderBy("section", "key").collect()]
     assert got[0] == '{"schema_version":"1"}' and '"id":2' in got[1] and '"id":10' in got[2] and got[3] == '{"module_path":"m","total_loc":3}'
+
+
+def test_vectors_of_another_length_are_refused(spark):
+    from graphloom.operators import search
+
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    new = spark.createDataFrame([(2, [3.0, 3.0]), (3, [4.0, 4.0])], "id long, v array<double>")
+    assert sorted((r.id, r.v[0]) for r in search.append_vectors(index, new, "id", "v", 2).collect()) == [(1, 1.0), (2, 3.0), (3, 4.0)]
+    with pytest.raises(Exception, match="isn't of length 2 but 1"):
+        search.append_vectors(index, spark.createDataFrame([(5, [1.0])], index.schema), "id", "v", 2).collect()
